@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, token_codes, toxicity, url_queries
+from . import packing, quality, substrings, token_codes, toxicity, url_queries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,5 +58,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=1024, end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_token_codes": op3_token_codes, "op5_packing": op5_packing, "op8_url_filters": url_queries.op8_url_filters}
-ORACLE_SQL: dict[str, str] = {"op8_url_filters": url_queries.ORACLE}
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_token_codes": op3_token_codes, "op5_packing": op5_packing, "op7_substrings": op7_substrings, "op8_url_filters": url_queries.op8_url_filters}
+ORACLE_SQL: dict[str, str] = {"op7_substrings": op7_substrings, "op8_url_filters": url_queries.ORACLE}
