@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, substrings, token_codes, toxicity, url_queries
+from . import packing, quality, simhash, substrings, token_codes, toxicity, url_queries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +63,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_token_codes": op3_token_codes, "op5_packing": op5_packing, "op7_substrings": op7_substrings, "op8_url_filters": url_queries.op8_url_filters}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.group(_table(spark, sf_dir, "documents"), size=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_token_codes": op3_token_codes, "op5_packing": op5_packing, "op7_substrings": op7_substrings, "op8_url_filters": url_queries.op8_url_filters, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {"op7_substrings": op7_substrings, "op8_url_filters": url_queries.ORACLE}
