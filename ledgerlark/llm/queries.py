@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, substrings, token_codes, toxicity, url_queries
+from . import decontamination, packing, quality, simhash, substrings, token_codes, toxicity, url_queries, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,5 +68,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_token_codes": op3_token_codes, "op5_packing": op5_packing, "op7_substrings": op7_substrings, "op8_url_filters": url_queries.op8_url_filters, "op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {"op7_substrings": op7_substrings, "op8_url_filters": url_queries.ORACLE}
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").where(
+        "vec_id is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf'))"
+    )
+    scaled = F.expr("transform(embedding, x -> cast(floor(1024 * double(x)) as bigint))")
+    index, grid = vector_search.build(vectors.select("vec_id", scaled.alias("v")))
+    return vector_search.search(index, grid, index.where("vec_id % 100 = 0").select("vec_id", "dims", "v"), k=10)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x : floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), similarity=0.8, size=5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
+    "op3_token_codes": op3_token_codes,
+    "op5_packing": op5_packing,
+    "op6_vector_search": op6_vector_search,
+    "op7_substrings": op7_substrings,
+    "op8_url_filters": url_queries.op8_url_filters,
+    "op9_decontamination": op9_decontamination,
+    "op10_simhash": op10_simhash,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_vector_search": OP6_SQL,
+    "op8_url_filters": url_queries.ORACLE,
+}
