@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, simhash, substrings, token_codes, toxicity, url_queries, vector_search
+from . import decontamination, html_text, packing, quality, simhash, substrings, token_codes, toxicity, url_queries, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_documents(spark, path)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=1024, end_id=2)
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_token_codes": op3_token_codes,
+    "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_vector_search": op6_vector_search,
     "op7_substrings": op7_substrings,
