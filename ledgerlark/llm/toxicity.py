@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from .compression import calibrate, compressor, labelled_sample, probability, window_lengths
-from .text import Words, chunks, ranges_hash
+from .text import Words, chunks, mix, ranges_hash
 
 WINDOW = 32
 DICTIONARY_CODES = 4096
@@ -74,9 +74,10 @@ def _count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, _, words in chunks(batch["text"], lower=True):
             codes = _codes(words)
             doc = np.repeat(np.arange(len(words.doc_words) - 1), np.diff(words.doc_words))
-            pairs = np.unique(np.column_stack([codes.ravel(), np.repeat(doc, codes.shape[1]).astype(np.uint64)]), axis=0)
-            code, inverse = np.unique(pairs[:, 0], return_inverse=True)
-            toxic = np.bincount(inverse, weights=y[first + pairs[:, 1].astype(int)], minlength=len(code)).astype(np.int64)
+            doc, flat = np.repeat(doc, codes.shape[1]), codes.ravel()
+            once = np.unique(flat + mix(doc.astype(np.uint64)), return_index=True)[1]  # each code of a document once
+            code, inverse = np.unique(flat[once], return_inverse=True)
+            toxic = np.bincount(inverse, weights=y[first + doc[once]], minlength=len(code)).astype(np.int64)
             every = np.bincount(inverse, minlength=len(code)).astype(np.int64)
             yield pa.record_batch([pa.array(code.view(np.int64)), pa.array(toxic), pa.array(every - toxic)], names=["code", "t", "o"])
 
