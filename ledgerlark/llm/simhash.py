@@ -101,7 +101,7 @@ def close_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[tu
     fps: (n, words) unsigned 64-bit; bucket: ascending numbers.
     """
     index, s = np.arange(len(fps)), 0
-    width, n_counters = fps.shape[1] * 64, int(radius).bit_length()
+    width, n_counters = fps.shape[1] * 64, max(1, int(radius).bit_length())
     planes = size = None
     while True:
         s += 1
