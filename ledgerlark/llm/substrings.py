@@ -53,7 +53,7 @@ def _windows(words: Words, hashes: np.ndarray, length: int, anchors: np.ndarray)
     np.add.at(step, np.maximum(first[anchors], anchors - PERIOD + 1), 1)
     np.add.at(step, anchors + 1, -1)
     at = np.flatnonzero((np.cumsum(step)[:-1] > 0) & (np.arange(len(hashes)) + length <= end))
-    return at, ranges_hash(hashes, at, at + length, _B), (ranges_hash(hashes, at, at + length, _C) >> np.uint64(32)).astype(np.uint32)
+    return at, ranges_hash(hashes, at, at + length, _B), (ranges_hash(hashes, at, at + length, _C, second=True) >> np.uint64(32)).astype(np.uint32)
 
 
 def _distinct(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

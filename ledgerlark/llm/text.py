@@ -10,8 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
-_B1, _B2, _C1, _C2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+CHUNK_BYTES = 1 << 20
+_B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -38,12 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[s:e] for every pair, modulo 2**64, mixed."""
-    up, down = _power(base, len(values) + 1)
+def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int, second: bool = False) -> np.ndarray:
+    """Polynomial hash of values[s:e] for every pair, modulo 2**64, mixed with a salt. second: of an independent polynomial.
+
+    There are two polynomials for all uses, so that a worker keeps few tables of powers.
+    """
+    up, down = _power(_B2 if second else _B1, len(values) + 1)
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values.astype(np.uint64) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix(((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)) ^ np.uint64(salt))
 
 
 class Words:
@@ -61,22 +64,8 @@ class Words:
         #: words[doc_words[d]:doc_words[d + 1]] belong to document d
         self.doc_words = np.searchsorted(self.starts, bounds)
 
-    def hashes(self, second: bool = False) -> np.ndarray:
-        return ranges_hash(self.buf, self.starts, self.ends, _B2 if second else _B1)
-
-    def windows(self, hashes: np.ndarray, length: int, second: bool = False) -> np.ndarray:
-        """Hash of words i .. i + length - 1 for each i (only i whose window stays in its document mean anything)."""
-        n = len(hashes) - length + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        at = np.arange(n)
-        return ranges_hash(hashes, at, at + length, _C2 if second else _C1)
-
-    def fits(self, length: int) -> np.ndarray:
-        """For each i in the range of windows(): whether its window lies in one document."""
-        n = max(0, len(self.starts) - length + 1)
-        ends = self.doc_words[1:][np.searchsorted(self.doc_words[1:], np.arange(n), side="right")] if n else np.zeros(0, int)
-        return np.arange(n) + length <= ends
+    def hashes(self) -> np.ndarray:
+        return ranges_hash(self.buf, self.starts, self.ends, 0)
 
 
 def as_strings(column: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterator
+
+import numpy as np
 
 #: White space beside a space or line feed, or one of these at an end: there word-wise encoding could differ.
 _ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s|^\n|[ \n]\Z")
-YOUNG_WORDS = 500_000
+YOUNG_WORDS = 300_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -39,11 +42,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.young = _Young({})
+        (self.line,) = self.whole(["\n"])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
+    def apart(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids; words are encoded together, a line feed between them, which is one id of its own."""
+        plain = [x for x in words if x and not x[-1].isspace() and not x[1:2].isspace() and (x[0] == " " or not x[0].isspace())]
+        taken, line = set(plain), struct.unpack("<I", self.line)[0] if len(self.line) == 4 else None
+        if line is None:
+            plain, taken = [], set()
+        for at in range(0, len(plain), 20000):
+            some = plain[at : at + 20000]
+            parts = [some[k : k + 200] for k in range(0, len(some), 200)]
+            found = self.tokenizer.encode_batch_fast(["\n".join(part) for part in parts], add_special_tokens=False)
+            for part, encoding in zip(parts, found):
+                ids = np.array(encoding.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == line)
+                if len(cuts) != len(part) - 1:  # a word holds a line feed's id
+                    yield from zip(part, self.whole(part))
+                    continue
+                raw, start = ids.tobytes(), 0
+                for x, end in zip(part, [*(4 * cuts).tolist(), 4 * len(ids)]):
+                    yield x, raw[start:end]
+                    start = end + 4
+        rest = [x for x in words if x not in taken]
+        yield from zip(rest, self.whole(rest))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text is empty."""
         if len(self.young) > YOUNG_WORDS:
@@ -63,9 +90,9 @@ class Encoder:
         young, old = self.young, self.young.old
         met = set().union(*words)
         fresh = [x for x in met if x not in young and x not in old]
-        for at in range(0, len(fresh), 5000):
-            part = fresh[at : at + 5000]
-            young.update(zip(part, self.whole([x if x[:1] == "\n" else " " + x for x in part])))
+        lines, spaced = [x[1:] for x in fresh if x[:1] == "\n"], [" " + x for x in fresh if x[:1] != "\n"]
+        young.update((x[1:], ids) for x, ids in self.apart(spaced))
+        young.update(("\n" + x, self.line + ids) for x, ids in self.apart(lines))
         get = young.__getitem__
         out = [b"".join(map(get, w)) for w in words]
         for (i, _), ids in zip(starts, self.whole([x for _, x in starts])):
