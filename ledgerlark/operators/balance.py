@@ -1,24 +1,24 @@
-"""Running-balance operators. All look at adjacent rows of a statement in row_idx order, in one window."""
+"""Running-balance operators. They look at adjacent rows of a statement in row_idx order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.money import half_up
 
-def in_order():
-    return Window.partitionBy("statement_id").orderBy("row_idx")
-
+from .adjacent import previous
 
 
 def reconcile(ledger: DataFrame) -> DataFrame:
     """Ledger rows with expected_balance, difference, balance_mismatch and severity. Missing amounts count as zero."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    expected = F.lag(zero("balance")).over(in_order()) + zero("credit") - zero("debit")
+    expected = F.col("_before") + zero("credit") - zero("debit")
     size = F.abs(F.col("difference"))
     return (
-        ledger.withColumn("expected_balance", expected)
+        previous(ledger, _before=zero("balance"))
+        .withColumn("expected_balance", expected)
+        .drop("_before")
         .withColumn("difference", zero("balance") - F.col("expected_balance"))
         .withColumn("balance_mismatch", F.coalesce(size > 1, F.lit(False)))
         .withColumn(
@@ -40,9 +40,10 @@ def reconcile_summary(reconciled: DataFrame) -> DataFrame:
 
 def audit(ledger: DataFrame, minor: int = 5) -> DataFrame:
     """Per statement: pairs of rows with both balances, by exact, minor (at most ``minor`` units) and major difference."""
-    off = F.abs(F.lag("balance").over(in_order()) + F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0)) - F.col("balance"))
+    off = F.abs(F.col("_before") + F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0)) - F.col("balance"))
     counted = (
-        ledger.withColumn("off", off)
+        previous(ledger, _before=F.col("balance"))
+        .withColumn("off", off)
         .groupBy("statement_id")
         .agg(
             F.count(F.lit(1)).alias("total_rows"),

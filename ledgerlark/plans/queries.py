@@ -25,12 +25,12 @@ _DUPLICATES = """dup AS (SELECT *, n > 1 AND ref_number <> '' AS is_duplicate FR
   WINDOW k AS (PARTITION BY statement_id, date, ref_number, CASE WHEN debit > 0 THEN debit ELSE credit END)))"""
 
 
-def _add(name: str, build: Callable[[DataFrame], DataFrame], sql: str, kind: str = "events", views: tuple[str, ...] = ()) -> None:
+def add(name: str, build: Callable[[DataFrame], DataFrame], sql: str, kind: str = "events", views: tuple[str, ...] = ()) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(ledger(spark, sf_dir, kind))
     ORACLE_SQL[name] = f"WITH {', '.join([f'ledger AS ({ledger_sql(kind, "varchar")})', *views])} {sql}"
 
 
-_add(
+add(
     "reconcile_balances",
     lambda df: balance.reconcile(df).where("balance_mismatch").select("statement_id", "row_idx", "expected_balance", "balance", "difference", "severity"),
     """SELECT statement_id, row_idx, expected_balance, balance, difference, CASE WHEN abs(difference) > 1000000 THEN 'critical'
@@ -38,14 +38,14 @@ _add(
        FROM rec WHERE abs(difference) > 1""",
     views=(_RECONCILED,),
 )
-_add(
+add(
     "reconcile_summary",
     lambda df: balance.reconcile_summary(balance.reconcile(df)),
     """SELECT statement_id, n_rows, mismatches, CAST(floor(100 - least(100.0, mismatches * 100.0::DOUBLE / n_rows * 3) + 0.5) AS BIGINT) AS integrity
        FROM (SELECT statement_id, count(*) AS n_rows, count(*) FILTER (WHERE abs(difference) > 1) AS mismatches FROM rec GROUP BY statement_id)""",
     views=(_RECONCILED,),
 )
-_add(
+add(
     "running_balance_audit",
     balance.audit,
     """SELECT *, CASE WHEN checked = 0 THEN 1.0::DOUBLE ELSE matched::DOUBLE / checked END AS match_ratio,
@@ -55,31 +55,31 @@ _add(
              FROM rec GROUP BY statement_id)""",
     views=(_RECONCILED,),
 )
-_add(
+add(
     "liquidity",
     balance.liquidity,
     """SELECT statement_id, min(balance) AS min_balance, max(balance) AS max_balance, sum(balance)::DOUBLE / count(*) AS avg_balance,
        arg_min(date, ROW(balance, row_idx)) AS max_dip_date, count(*) FILTER (WHERE balance <= 0) AS zero_days FROM ledger GROUP BY statement_id""",
 )
-_add(
+add(
     "detect_duplicates",
     lambda df: analytics.duplicates(df).where("is_duplicate").select("statement_id", "row_idx", "date", "ref_number", "duplicate_group"),
     "SELECT statement_id, row_idx, date, ref_number, first_row AS duplicate_group FROM dup WHERE is_duplicate",
     views=(_DUPLICATES,),
 )
-_add(
+add(
     "duplicate_count",
     lambda df: analytics.duplicates(df).where("is_duplicate").groupBy("statement_id").agg((F.count(F.lit(1)) - F.countDistinct("duplicate_group")).alias("repeats")),
     "SELECT statement_id, count(*) - count(DISTINCT first_row) AS repeats FROM dup WHERE is_duplicate GROUP BY statement_id",
     views=(_DUPLICATES,),
 )
-_add(
+add(
     "ledger_totals",
     analytics.totals,
     """SELECT statement_id, CAST(sum(credit) AS BIGINT) AS credits, CAST(sum(debit) AS BIGINT) AS debits,
        CAST(sum(credit) - sum(debit) AS BIGINT) AS net, count(*) AS n_rows FROM ledger GROUP BY statement_id""",
 )
-_add(
+add(
     "category_breakdown",
     analytics.category_breakdown,
     f"""SELECT statement_id, category, n_rows, total_debit, total_credit,
@@ -88,19 +88,19 @@ _add(
        SELECT statement_id, {_CATEGORY} AS category, count(*) AS n_rows, CAST(sum(debit) AS BIGINT) AS total_debit, CAST(sum(credit) AS BIGINT) AS total_credit
        FROM ledger GROUP BY ALL))""",
 )
-_add(
+add(
     "monthly_cashflow",
     analytics.monthly_cashflow,
     """SELECT statement_id, substr(date, 1, 7) AS month, CAST(sum(credit) AS BIGINT) AS credits, CAST(sum(debit) AS BIGINT) AS debits,
        arg_max(balance, ROW(date, -row_idx)) AS closing, CAST(sum(credit) - sum(debit) AS BIGINT) AS net FROM ledger GROUP BY ALL""",
     kind="orders",
 )
-_add(
+add(
     "high_risk_rows",
     lambda df: analytics.high_risk(df).select("statement_id", "row_idx", "description", "risk_type", "risk_flag"),
     " UNION ALL ".join(f"SELECT statement_id, row_idx, description, '{name}' AS risk_type, {_FLAG} AS risk_flag FROM ledger WHERE {test}" for name, test in _RISKS.items()),
 )
-_add(
+add(
     "risk_counts",
     lambda df: analytics.high_risk(df).groupBy("statement_id", "risk_type").agg(F.count(F.lit(1)).alias("n_rows")),
     " UNION ALL ".join(f"SELECT statement_id, '{name}' AS risk_type, count(*) AS n_rows FROM ledger WHERE {test} GROUP BY statement_id" for name, test in _RISKS.items()),
@@ -126,13 +126,13 @@ _SCORED = f"""conf AS (SELECT r.*, list_filter([
 points AS (SELECT *, greatest(0, 100 - coalesce(list_sum(list_transform(reasons, lambda x : CASE x WHEN 'missing_date' THEN 30 WHEN 'missing_description' THEN 20
   WHEN 'both_debit_and_credit' THEN 25 WHEN 'missing_amount' THEN 25 WHEN 'missing_balance' THEN 30 WHEN 'negative_amount' THEN 20
   WHEN 'balance_mismatch' THEN 25 ELSE 5 END)), 0)) AS score FROM conf)"""
-_add(
+add(
     "row_confidence",
     lambda df: _scored(df).select("statement_id", "row_idx", "confidence_score", "confidence_reasons"),
     "SELECT statement_id, row_idx, CAST(score AS INTEGER) AS confidence_score, array_to_string(reasons, ',') AS confidence_reasons FROM points",
     views=(_RECONCILED, _DUPLICATES, _SCORED),
 )
-_add(
+add(
     "confidence_summary",
     lambda df: analytics.confidence_summary(_scored(df)),
     """SELECT statement_id, CAST(floor(avg(score) + 0.5) AS BIGINT) AS average_score, count(*) FILTER (WHERE score < 70) AS low_confidence, count(*) AS total

@@ -3,8 +3,11 @@
 import duckdb
 import pytest
 
-from ledgerlark.operators import analytics, balance
-from ledgerlark.plans.queries import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
+
+from ledgerlark.operators import alerts, analytics, balance, exports, flow
+from ledgerlark.operators.adjacent import previous
+from ledgerlark.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "statement_id long, row_idx long, date string, description string, ref_number string, debit long, credit long, balance long"
@@ -70,9 +73,34 @@ def test_confidence_of_a_row_without_date_and_amount(spark):
     assert (row["confidence_score"], row["confidence_reasons"]) == (45, "missing_date,missing_amount")
 
 
+def test_previous_row_across_blocks(spark):
+    df = rows(spark, *[(0, 0, i * i) for i in range(23)])
+    for block in (1, 4, 7, 100):
+        found = {r["row_idx"]: r["b"] for r in previous(df, block, b=F.col("balance")).collect()}
+        assert found == {i: (i - 1) ** 2 if i else None for i in range(23)}
+
+
+def test_circular_needs_both_directions(spark):
+    df = rows(spark, *[(5, 0, 0)] * 5)
+    both = df.withColumn("description", F.expr("if(row_idx = 0, 'received from zed', 'transfer out to zed')"))
+    one = df.withColumn("description", F.lit("transfer out to zed"))
+    assert alerts.circular(both).count() == 5 and alerts.circular(one).count() == 0
+
+
+def test_csv_fields_are_quoted_where_needed_and_nulls_are_empty(spark):
+    df = rows(spark, (5, 0, -1250)).withColumn("description", F.lit('a "b", c')).withColumn("ref_number", F.lit(None).cast("string"))
+    lines = [r["line"] for r in exports.csv_lines(df, total=True).orderBy("part").collect()]
+    assert lines[1:] == ['2024-01-01,"a ""b"", c",Other,0.05,,-12.50,', ",TOTAL,,0.05,0.00,,"]
+
+
+def test_flow_of_a_single_row_and_without_balances(spark):
+    assert flow.balance_flow(rows(spark, (0, 0, 1))).first()["mismatch_ratio"] == 0.0
+    assert flow.balance_flow(rows(spark, (0, 0, None), (0, 0, None))).first()["mismatch_ratio"] == 1.0
+
+
 def test_empty_ledger(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    for run in (balance.audit, balance.liquidity, analytics.totals, analytics.category_breakdown, analytics.monthly_cashflow, analytics.high_risk):
+    for run in (balance.reconcile, flow.balance_flow, flow.delta_anomalies, flow.statement_summary, alerts.circular, alerts.findings, exports.csv_lines, exports.iif_lines, balance.audit, balance.liquidity, analytics.totals, analytics.category_breakdown, analytics.monthly_cashflow, analytics.high_risk):
         assert run(empty).count() == 0
 
 
