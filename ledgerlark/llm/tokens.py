@@ -11,10 +11,20 @@ import numpy as np
 
 #: White space beside a space or line feed, or one of these at an end: there word-wise encoding could differ.
 _ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s|^\n|[ \n]\Z")
+#: All white space but the space and the line feed.
+_RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c) not in " \n" and re.match(r"\s", chr(c))]
 YOUNG_WORDS = 300_000
 _encoders: dict[str, Encoder] = {}
 
 
+def odd_spacing(text: str) -> bool:
+    """Whether _ODD_SPACE occurs in a text (not empty); the pattern itself runs only where rare white space occurs."""
+    if text[0] == "\n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    rare = _RARE_SPACE[:8] if text.isascii() else _RARE_SPACE
+    return any(x in text for x in rare) and bool(_ODD_SPACE.search(text))
+
+
 class _Young(dict):
     """Words met lately; one that is only among the older words comes back here."""
 
@@ -80,7 +90,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 words.append(())
-            elif _ODD_SPACE.search(text):
+            elif odd_spacing(text):
                 odd.append(i)
                 words.append(())
             else:

@@ -322,3 +322,13 @@ def test_pipeline_keeps_clean_documents(spark):
     kept = packed.select("doc_id").distinct().count()
     assert 0.5 * docs.count() < kept <= docs.count()
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_spacing_check_agrees_with_its_pattern():
+    import itertools
+
+    from ledgerlark.llm.tokens import _ODD_SPACE, odd_spacing
+
+    for n in range(1, 6):
+        for x in map("".join, itertools.product(" \n\t\u3000a", repeat=n)):
+            assert odd_spacing(x) == bool(_ODD_SPACE.search(x)), repr(x)
