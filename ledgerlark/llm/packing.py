@@ -94,11 +94,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, special_as_text: bool = True) -> DataFrame:
     """The pieces of every document: its ids and end_id, cut from the end into pieces of ``capacity`` (the first may be shorter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        by, part, seen = encoder(tokenizer, special_as_text), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for at in range(0, len(batch), SLICE_DOCS):
@@ -118,14 +118,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, special_as_text: bool = True) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is end_id alone; repeated rows are documents of their own; a null doc_id stays null; an empty
     table gives no pieces.
     """
     spark = docs.sparkSession
-    cutted = cut(pieces(docs, tokenizer, capacity, end_id), "pieces")  # ranks in a part stay as they were written
+    cutted = cut(pieces(docs, tokenizer, capacity, end_id, special_as_text), "pieces")  # ranks in a part stay as they were written
     by_part = cutted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     base = by_part.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     counts = {int(r["length"]): int(r["n"]) for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most

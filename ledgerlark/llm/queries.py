@@ -50,7 +50,7 @@ def tokenizer_path() -> str:
 
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_codes.new_path(spark, "token_codes")
-    token_codes.write(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=0)
+    token_codes.write(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=0, special_as_text=False)
     return token_codes.read_documents(spark, path)
 
 
@@ -59,7 +59,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2, special_as_text=False)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ class Block:
         return out
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", special_as_text: bool = True) -> None:
     """Encode every whole text, append end_id, and write the ids in ascending order of id_column (nulls first; ties by text).
 
     Repeated rows stay repeated documents, an empty or null text is end_id alone, an empty table is a dataset of no rows.
@@ -108,7 +108,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = TaskContext.get().partitionId(), 0, 0
         ids, found, held = [], [], 0
-        by = encoder(tokenizer)
+        by = encoder(tokenizer, special_as_text)
         end = int(end_id).to_bytes(4, "little")
 
         def full() -> pa.RecordBatch:

@@ -14,7 +14,7 @@ _ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s|^\n|[ \n]\Z")
 #: All white space but the space and the line feed.
 _RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c) not in " \n" and re.match(r"\s", chr(c))]
 YOUNG_WORDS = 300_000
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def odd_spacing(text: str) -> bool:
@@ -42,15 +42,18 @@ class Encoder:
 
     Such an encoding is the concatenation of the encodings of the text's words, each with the space before it,
     so words are encoded once per worker and then looked up. Texts with odd spacing are encoded whole.
-    The strings of special tokens are ordinary text.
+    The strings of special tokens are ordinary text if ``special_as_text``; else texts that hold an added token are encoded
+    whole, by the file as it is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [x.content for x in added if not (special_as_text and x.special)]
         self.young = _Young({})
         (self.line,) = self.whole(["\n"])
 
@@ -90,7 +93,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 words.append(())
-            elif odd_spacing(text):
+            elif odd_spacing(text) or any(x in text for x in self.added):
                 odd.append(i)
                 words.append(())
             else:
@@ -112,7 +115,8 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = True) -> Encoder:
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

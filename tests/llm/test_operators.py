@@ -370,3 +370,17 @@ def test_spacing_check_agrees_with_its_pattern():
     for n in range(1, 6):
         for x in map("".join, itertools.product(" \n\t\u3000a", repeat=n)):
             assert odd_spacing(x) == bool(_ODD_SPACE.search(x)), repr(x)
+
+
+def test_queries_encode_special_tokens_by_the_file(spark, tmp_path):
+    import corpus_pipeline
+    from ledgerlark.llm import queries
+
+    texts = ["see <|endoftext|> here", "plain words here", "a<|endoftext|>", "two\nlines <|endoftext|>\nend"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    got = queries.op3_token_codes(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == [(i, len(x) + 1, crc([*x, 0])) for i, x in enumerate(ids)]
+    for packed in (queries.op5_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "")):
+        assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packed.collect()) == [(i, len(x) + 1, crc([*x, 2])) for i, x in enumerate(ids)]
