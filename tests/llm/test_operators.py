@@ -177,6 +177,20 @@ def test_near_duplicates_lose_no_pair(spark, tmp_path):
     assert sorted(r["doc_id"] for r in near_duplicates.keep_one(spark.read.parquet(path)).collect()) == want
 
 
+def family(k):
+    """A text, its near copies, and siblings that just fail: each differs from the text in other places."""
+    base = text(204, 5000 + k)
+    places = [[10 + 3 * j, 50 + 3 * j, 90 + 3 * j, 130 + 3 * j, 170 + 3 * j][: 3 + j % 3] for j in range(8)]
+    return [base, *[edited(base, p) for p in places]]
+
+
+def test_near_duplicates_of_families(spark, tmp_path):
+    rows = [(9 * k + j, t) for k in range(60) for j, t in enumerate(family(k)[k % 2 :])]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    assert sorted(r["doc_id"] for r in near_duplicates.keep_one(spark.read.parquet(path)).collect()) == grouped_by_hand(rows)
+
+
 def ids_of(rows):
     tokenizer = Tokenizer.from_file(tokenizer_path())
     tokenizer.encode_special_tokens = True
