@@ -191,6 +191,14 @@ def test_near_duplicates_of_families(spark, tmp_path):
     assert sorted(r["doc_id"] for r in near_duplicates.keep_one(spark.read.parquet(path)).collect()) == grouped_by_hand(rows)
 
 
+def test_near_duplicates_are_the_same_at_every_bucket_size(spark, tmp_path, monkeypatch):
+    rows = [(9 * k + j, t) for k in range(30) for j, t in enumerate(family(k)[k % 2 :])]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    monkeypatch.setattr(near_duplicates, "LARGE_BUCKET", 2)
+    assert sorted(r["doc_id"] for r in near_duplicates.keep_one(spark.read.parquet(path)).collect()) == grouped_by_hand(rows)
+
+
 def ids_of(rows):
     tokenizer = Tokenizer.from_file(tokenizer_path())
     tokenizer.encode_special_tokens = True
