@@ -30,6 +30,18 @@ def circular(ledger: DataFrame, least: int = 5) -> DataFrame:
     return transfers.join(both, ["statement_id", "counterparty"]).select("statement_id", "row_idx", "counterparty")
 
 
+def circular_groups(ledger: DataFrame) -> DataFrame:
+    """Per circular counterparty of a statement: n_in, n_out, and the sum of the amounts (debit, or credit where it is zero)."""
+    amount = F.abs(F.when(F.coalesce("debit", F.lit(0)) != 0, F.col("debit")).otherwise(F.coalesce("credit", F.lit(0))))
+    rows = ledger.select("statement_id", "row_idx", category(F.col("description")).alias("category"), amount.alias("amount"))
+    return (
+        circular(ledger)
+        .join(rows, ["statement_id", "row_idx"])
+        .groupBy("statement_id", "counterparty")
+        .agg(F.count_if(F.col("category") == "Transfer In").alias("n_in"), F.count_if(F.col("category") == "Transfer Out").alias("n_out"), F.sum("amount").alias("total_amount"))
+    )
+
+
 def findings(ledger: DataFrame) -> DataFrame:
     """Per statement: n_rows, mismatches, zero_rows (balance at or below zero) and the rows of each risk type."""
     types = risk_types(F.col("description"))

@@ -34,13 +34,24 @@ def category_breakdown(ledger: DataFrame) -> DataFrame:
 
 
 def monthly_cashflow(ledger: DataFrame) -> DataFrame:
-    """Per statement and month: credits, debits, net, and the balance of the first row of the month's last date."""
+    """Per statement and month: credits, debits, net, and closing.
+
+    Closing is the balance of the first row of the month's last date. A zero or absent balance keeps that of the latest date
+    before it, 0 if there is none; a date that begins after a later one doesn't count.
+    """
+    month = F.substring("date", 1, 7).alias("month")
+    days = ledger.groupBy("statement_id", month, "date").agg(
+        F.sum("credit").alias("credits"), F.sum("debit").alias("debits"), F.min("row_idx").alias("first"), F.min_by("balance", "row_idx").alias("balance")
+    )
+    before = Window.partitionBy("statement_id", "month").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (F.col("date") > F.coalesce(F.max("date").over(before), F.lit(""))) & (F.col("balance") != 0)
     return (
-        ledger.groupBy("statement_id", F.substring("date", 1, 7).alias("month"))
+        days.withColumn("closing", F.when(counts, F.col("balance")))
+        .groupBy("statement_id", "month")
         .agg(
-            F.sum("credit").alias("credits"),
-            F.sum("debit").alias("debits"),
-            F.max_by("balance", F.struct(F.col("date"), -F.col("row_idx"))).alias("closing"),
+            F.sum("credits").alias("credits"),
+            F.sum("debits").alias("debits"),
+            F.coalesce(F.max_by("closing", F.when(F.col("closing").isNotNull(), F.col("date"))), F.lit(0).cast("long")).alias("closing"),
         )
         .withColumn("net", F.col("credits") - F.col("debits"))
     )

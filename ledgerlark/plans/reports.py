@@ -57,6 +57,14 @@ add(
        FROM ledger GROUP BY statement_id""",
 )
 add("circular_transfers", alerts.circular, "SELECT * FROM loops", views=(_LOOPS,))
+add(
+    "circular_groups",
+    alerts.circular_groups,
+    """SELECT statement_id, counterparty, count(*) FILTER (WHERE category = 'Transfer In') AS n_in, count(*) FILTER (WHERE category = 'Transfer Out') AS n_out,
+       CAST(sum(abs(CASE WHEN coalesce(debit, 0) <> 0 THEN debit ELSE coalesce(credit, 0) END)) AS BIGINT) AS total_amount
+       FROM loops JOIN tra USING (statement_id, row_idx, counterparty) JOIN ledger USING (statement_id, row_idx) GROUP BY ALL""",
+    views=(_LOOPS,),
+)
 add(
     "fraud_alerts",
     lambda df: alerts.fraud_alerts(alerts.findings(df)),

@@ -87,6 +87,17 @@ def test_circular_needs_both_directions(spark):
     assert alerts.circular(both).count() == 5 and alerts.circular(one).count() == 0
 
 
+def test_circular_groups(spark):
+    df = rows(spark, (0, 7, 0), *[(5, 0, 0)] * 4).withColumn("description", F.expr("if(row_idx = 0, 'received from zed', 'transfer out to zed')"))
+    assert [tuple(r) for r in alerts.circular_groups(df).collect()] == [(1, "zed", 1, 4, 27)]
+
+
+def test_closing_passes_over_zero_and_absent_balances(spark):
+    days = [("2024-01-05", 10), ("2024-01-09", 0), ("2024-01-09", 8), ("2024-01-07", 5), ("2024-02-01", None)]
+    df = spark.createDataFrame([(1, i, d, "x", "r", 1, 0, b) for i, (d, b) in enumerate(days)], SCHEMA)
+    assert sorted((r["month"], r["closing"], r["net"]) for r in analytics.monthly_cashflow(df).collect()) == [("2024-01", 10, -4), ("2024-02", 0, -1)]
+
+
 def test_csv_fields_are_quoted_where_needed_and_nulls_are_empty(spark):
     df = rows(spark, (5, 0, -1250)).withColumn("description", F.lit('a "b", c')).withColumn("ref_number", F.lit(None).cast("string"))
     lines = [r["line"] for r in exports.csv_lines(df, total=True).orderBy("part").collect()]
