@@ -91,7 +91,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
             raw = (text or "").encode()
             starts = range(0, len(raw), WINDOW_BYTES)
-            for at in list(starts)[:: max(1, len(starts) // TRAIN_WINDOWS)][:TRAIN_WINDOWS]:
+            n, k = len(starts), TRAIN_WINDOWS
+            for at in starts if n <= k else [starts[(2 * i + 1) * n // (2 * k)] for i in range(k)]:
                 ys.append(y)
                 found.append(raw[at : at + WINDOW_BYTES])
         yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(found, pa.binary())], names=["y", "w"])

@@ -406,3 +406,14 @@ def test_queries_encode_special_tokens_by_the_file(spark, tmp_path):
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == [(i, len(x) + 1, crc([*x, 0])) for i, x in enumerate(ids)]
     for packed in (queries.op5_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "")):
         assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packed.collect()) == [(i, len(x) + 1, crc([*x, 2])) for i, x in enumerate(ids)]
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 7, 11, 40])
+def test_dictionary_windows_are_spread_over_the_text(n):
+    import pyarrow as pa
+
+    raw = "".join(chr(97 + k % 26) * quality.WINDOW_BYTES for k in range(n))
+    (out,) = quality._spread(iter([pa.record_batch([pa.array([raw]), pa.array([1], pa.int32())], names=["text", "y"])]))
+    k = min(n, quality.TRAIN_WINDOWS)
+    want = [i if n == k else (2 * i + 1) * n // (2 * k) for i in range(k)]
+    assert [w[:1].decode() for w in out["w"].to_pylist()] == [chr(97 + i % 26) for i in want]
