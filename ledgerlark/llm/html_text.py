@@ -1,12 +1,13 @@
 """Main text of web pages by differencing each page with its nearest page of the same host.
 
-A page is cut into text lines (its blocks). Its nearest page is taken from the pages of the same directory of the URL path,
-or else of the same host: the first of them in path order, or the last for the first itself; pages with the same lines
-are copies and never compared. Lines are aligned by longest common subsequence, and shared lines are deleted.
+A page is cut into text lines (its blocks). Pages are put in order of host and URL path; a page's nearest page is the
+neighbour on either side, on the same host, that shares more leading path segments (the one before on a tie). Lines of
+the two are aligned by longest common subsequence, and shared lines are deleted. Copies and near copies (pages whose
+shared lines hold most of the characters of both) tell nothing about each other: then the other neighbour is compared.
 
 Differencing alone is not right in two cases, where the markup decides: lines of elements that hold no article text
 (navigation, scripts, forms, adverts, comments and the like) go whether they are shared or not, and lines of an
-<article> or <main> stay although other pages quote them; what stands outside of them on such a page goes.
+<article> or <main> stay although other pages quote them. It decides on all other lines of every page.
 """
 
 from __future__ import annotations
@@ -19,16 +20,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
+from .store import cut, unused
 from .url_filters import _PATH, host
 
 BROADCAST_ROWS = 50_000
+PART_ROWS = 100_000
+#: Pages are near copies if shared lines hold more than this share of the characters of both.
+NEAR_COPY = 0.9
 
 # Names of elements and of classes, ids and roles.
-RAW = "script|style|noscript|template|iframe|svg|textarea|select|canvas|object|math"
+RAW = "script|style|noscript|template|iframe|svg|textarea|select|canvas|object"
 NOT_ARTICLE = frozenset("head title nav header footer aside form menu dialog button label fieldset audio video map".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -44,16 +50,18 @@ BOILERPLATE = frozenset(
 )
 SITE_HEADER = frozenset("header masthead site-header page-header main-header top-header global-header".split())
 
+#: A comment, a declaration, or a tag; quantifiers never give back, so a search takes linear time.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{RAW})\b[^>]*?(?<!/)>.*?(?:</(?:{RAW})\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<[!?/](?![A-Za-z])[^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?>[^>\"'=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)>",
+    re.S,
 )
-_RAW_OPEN = re.compile(rf"<({RAW})\b", re.I)
+_RAW_NAMES = frozenset(RAW.split("|"))
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in _RAW_NAMES}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def _hides(name: str, attributes: str) -> bool:
-    """Whether an element holds no article text by its name or attributes."""
+def _hides(name: str, attributes: str, article: bool) -> bool:
+    """Whether an element holds no article text by its name or attributes. In an article, only a whole class or id counts, not its parts."""
     if name in NOT_ARTICLE:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
@@ -64,28 +72,25 @@ def _hides(name: str, attributes: str) -> bool:
             return True
         if key in ("class", "id"):
             for word in value.split():
-                if word in SITE_HEADER or not BOILERPLATE.isdisjoint(re.split(r"[^a-z0-9]+", word)):
+                if word in SITE_HEADER or not BOILERPLATE.isdisjoint([word] if article else re.split(r"[^a-z0-9]+", word)):
                     return True
     return False
 
 
 def _tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
     """(text before, "" or "/", tag name or "", attributes) for each piece of markup; raw elements have no name."""
-    at = 0
-    while True:
-        found = _TOKEN.search(source, at)
-        if not found:
-            yield source[at:], "", "", ""
-            return
-        end = found.end()
-        raw = _RAW_OPEN.match(source, found.start())
-        if raw:  # up to its own end tag
-            close = re.compile(rf"</{raw[1]}\s*>", re.I).search(source, raw.end())
-            end = close.end() if close else len(source)
-            yield source[at : found.start()], "", "", ""
-        else:
-            yield source[at : found.start()], found[1] or "", (found[2] or "").lower(), found[3] or ""
+    at, last = 0, source.rfind(">") + 1  # no tag ends after it
+    while at < last and (found := _TOKEN.search(source, at, last)):
+        before, name, end = source[at : found.start()], (found[2] or "").lower(), found.end()
+        if name in _RAW_NAMES and not found[1] and not found[3].endswith("/"):  # up to its own end tag
+            close = _RAW_END[name].search(source, end)
+            end, name = close.end() if close else len(source), ""
+        elif not name and source.startswith("<!--", found.start()) and not source.endswith("-->", 0, end):
+            end = len(source)  # an open comment
+        yield before, found[1] or "", name, found[3] or ""
         at = end
+    open_tag = re.search(r"<[A-Za-z/!?]", source[at:])  # never closed
+    yield source[at : at + open_tag.start()] if open_tag else source[at:], "", "", ""
 
 
 def lines(source: str | None) -> list[tuple[str, int]]:
@@ -122,7 +127,7 @@ def lines(source: str | None) -> list[tuple[str, int]]:
                 continue
         if name in ("article", "main"):
             article = max(0, article + (-1 if slash else 1))
-        elif not slash and name not in VOID and not attributes.endswith("/") and _hides(name, attributes):
+        elif not slash and name not in VOID and not attributes.endswith("/") and _hides(name, attributes, article > 0):
             flush()
             hidden, depth = name, 1
     flush()
@@ -157,65 +162,102 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return [*range(low), *middle[::-1], *range(len(a) - high, len(a))]
 
 
-def _open(found: list[tuple[str, int]]) -> bool:
-    """Whether differencing decides: no line lies in an article."""
-    return not any(zone == 2 for _, zone in found)
+def shared_lines(page: tuple[list[int], list[int]], others: list[tuple[list[int], list[int]]]) -> list[int]:
+    """Places of the page's lines (hashes, lengths) that it shares with the first of the others that is no near copy."""
+    own, sizes = page
+    for lines_, sizes_ in others:
+        found = common(own, lines_)
+        held = sum(sizes[k] for k in found)
+        if held <= NEAR_COPY * max(sum(sizes), sum(sizes_)):
+            return found
+    return []
 
 
 def _hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """All columns of pages but html, and text, n_chars (its code points).
+def _in_order(hashed: DataFrame) -> DataFrame:
+    """hashed with at: the place of each row in the order of host and path, counted over all rows without gathering them."""
+    by = ["host", "path", "h", "g"]
+    n = max(1, -(-hashed.count() // PART_ROWS))
 
-    A null or empty page has an empty text. A page without a URL, or alone on its host, is compared with none. Repeated
-    rows stay; existing columns text and n_chars are replaced.
-    """
-    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    pages = pages.select(*kept).withColumn("_key", F.xxhash64(*kept))
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            columns = [pa.array([part] * len(batch), pa.int32()), pa.array(range(first, first + len(batch)), pa.int64())]
+            yield pa.record_batch([*batch.columns, *columns], names=[*batch.schema.names, "part", "k"])
+            first += len(batch)
+
+    schema = StructType([*hashed.schema.fields]).add("part", IntegerType()).add("k", LongType())
+    dealt = cut(hashed.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(number, schema), "ordered")
+    sizes = dealt.groupBy("part").count()
+    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row for each PART_ROWS pages
+    return dealt.join(F.broadcast(before), "part").withColumn("at", F.col("k") + F.col("before")).drop("part", "k", "before")
+
+
+def _shared(pages: DataFrame, html: str, h: str, g: str, url: str) -> DataFrame:
+    """h, g (hashes of a page's columns) and shared: the places of lines that differencing deletes, where there are any."""
     path = F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), _PATH, 1), "/+$", "")
-    slim = pages.select("_key", html, host(F.col(url)).alias("host"), path.alias("path")).where("host <> ''")
+    slim = pages.select(F.col(h).alias("h"), F.col(g).alias("g"), html, host(F.col(url)).alias("host"), path.alias("path")).where("host <> ''")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [lines(x) for x in batch[html].to_pylist()]
             hashes = [[_hash(line) for line, _ in found] for found in every]
-            open_ = [_open(found) for found in every]
+            sizes = [[len(line) for line, _ in found] for found in every]
+            open_ = [any(zone == 1 for _, zone in found) for found in every]
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_()]
             yield pa.record_batch(
-                [batch["_key"], batch["host"], batch["path"], pa.array(hashes, pa.list_(pa.int64())), pa.array(open_)],
-                names=["_key", "host", "path", "lines", "open"],
+                [*[batch[c] for c in ("h", "g", "host", "path")], *map(pa.array, (hashes, sizes, open_), kinds)],
+                names=["h", "g", "host", "path", "lines", "sizes", "open"],
             )
 
-    table = slim.mapInArrow(hashed, "_key long, host string, path string, lines array<bigint>, open boolean").withColumn(
-        "dir", F.regexp_replace("path", "/[^/]*$", "")
-    )
-    one = F.struct("path", "lines")
-    ends = lambda *by: table.groupBy(*by).agg(F.min(one).alias("first"), F.max(one).alias("last"))
-    near, far = ends("host", "dir"), ends("host").select("host", F.col("first").alias("first_"), F.col("last").alias("last_"))
-    asked = table.where("open and size(lines) > 0").select("_key", "host", "dir", "lines")
-    other = F.expr("filter(array(first.lines, last.lines, first_.lines, last_.lines), x -> x <> lines)[0]")
-    pairs = asked.join(near, ["host", "dir"]).join(far, "host").select("_key", "lines", other.alias("other")).where("other is not null").dropDuplicates(["_key"])
+    schema = "h long, g long, host string, path string, lines array<bigint>, sizes array<int>, open boolean"
+    ordered = _in_order(cut(slim.mapInArrow(hashed, schema).dropDuplicates(["h", "g"]), "lines"))
+    page = F.struct("host", F.split("path", "/").alias("steps"), "lines", "sizes")
+    offered = ordered.select(page.alias("other"), F.explode(F.array(F.struct((F.col("at") + 1).alias("at"), F.lit(0).alias("side")), F.struct((F.col("at") - 1).alias("at"), F.lit(1).alias("side")))).alias("x"))
+    offered = offered.select("other", "x.at", "x.side")
+    steps = F.split("path", "/")
+    together = F.expr("size(filter(sequence(1, least(size(steps), size(other.steps))), i -> slice(steps, 1, i) = slice(other.steps, 1, i)))")
+    asked = ordered.where("open").withColumn("steps", steps)
+    pairs = (
+        asked.join(offered, "at").where("host = other.host and lines <> other.lines")
+        .groupBy("h", "g", "lines", "sizes")
+        .agg(F.array_sort(F.collect_list(F.struct((-together).alias("apart"), "side", F.col("other.lines").alias("lines"), F.col("other.sizes").alias("sizes")))).alias("others"))
+    )  # two others at most
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = [common(a, b) for a, b in zip(batch["lines"].to_pylist(), batch["other"].to_pylist())]
-            yield pa.record_batch([batch["_key"], pa.array(shared, pa.list_(pa.int32()))], names=["_key", "_shared"])
+            rows = zip(batch["lines"].to_pylist(), batch["sizes"].to_pylist(), batch["others"].to_pylist())
+            found = [shared_lines((a, b), [(x["lines"], x["sizes"]) for x in others]) for a, b, others in rows]
+            yield pa.record_batch([batch["h"], batch["g"], pa.array(found, pa.list_(pa.int32()))], names=["h", "g", "shared"])
 
-    shared = pairs.mapInArrow(align, "_key long, _shared array<int>").where("size(_shared) > 0")
-    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    return pairs.mapInArrow(align, "h long, g long, shared array<int>").where("size(shared) > 0")
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """All columns of pages but html, and text, n_chars (its code points).
+
+    A null or empty page has an empty text. A page without a URL, or alone on its host, is compared with none. Repeated
+    rows stay; existing columns text and n_chars are replaced, others of any name stay.
+    """
+    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
+    h, g, gone = (unused(c, pages) for c in ("_h", "_g", "_gone"))
+    pages = pages.select(*kept).withColumns({h: F.xxhash64(*[F.col(c) for c in (url, html)]), g: F.xxhash64(F.lit(1), *[F.col(c) for c in (html, url)])})
+    shared = cut(_shared(pages, html, h, g, url), "shared").select(F.col("h").alias(h), F.col("g").alias(g), F.col("shared").alias(gone))
+    if shared.count() <= BROADCAST_ROWS:
         shared = F.broadcast(shared)
-    schema = StructType([pages.schema[c] for c in kept if c != html]).add("text", StringType()).add("n_chars", LongType())
     names = [c for c in kept if c != html]
+    schema = StructType([pages.schema[c] for c in names]).add("text", StringType()).add("n_chars", LongType())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, gone in zip(batch[html].to_pylist(), batch["_shared"].to_pylist()):
-                found = lines(source)
-                zone, gone = (1, set(gone or ())) if _open(found) else (2, ())
-                texts.append(" ".join(line for k, (line, z) in enumerate(found) if z == zone and k not in gone))
+            for source, some in zip(batch[html].to_pylist(), batch[gone].to_pylist()):
+                drop = set(some or ())
+                texts.append(" ".join(line for k, (line, zone) in enumerate(lines(source)) if zone == 2 or (zone == 1 and k not in drop)))
             columns = [batch[c] for c in names]
             yield pa.record_batch([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*names, "text", "n_chars"])
 
-    return pages.join(shared, "_key", "left").drop("_key").mapInArrow(clean, schema)
+    return pages.join(shared, [h, g], "left").drop(h, g).mapInArrow(clean, schema)
