@@ -12,17 +12,32 @@ from .store import cut
 _compressors: dict[tuple[bytes, int, int], zstandard.ZstdCompressor] = {}
 
 
-def compressor(content: bytes, level: int = 1, min_match: int = 0) -> zstandard.ZstdCompressor:
-    """A compressor primed with a raw-content dictionary (kept for the life of the worker); frames carry no header fields."""
-    key = (content, level, min_match)
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A zstandard dictionary of at most ``size`` bytes trained on the samples, with its entropy tables; empty without samples.
+
+    zstandard refuses too few samples, so they count 4, 16 or 64 times, the least that it takes.
+    """
+    samples = [x for x in samples if len(x) >= 8]
+    for times in (1, 4, 16, 64) if samples else ():
+        some = samples * times
+        try:
+            return zstandard.train_dictionary(max(1024, min(size, sum(map(len, some)) // 2)), some, k=k, d=d, level=3).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b""
+
+
+def compressor(dictionary: bytes, level: int = 3, min_match: int = 0) -> zstandard.ZstdCompressor:
+    """A compressor primed with a trained dictionary (kept for the life of the worker); frames carry no header fields."""
+    key = (dictionary, level, min_match)
     if key not in _compressors:
         own = {"min_match": min_match} if min_match else {}
         params = zstandard.ZstdCompressionParameters.from_level(
             level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, **own
         )
         primed = {}
-        if len(content) >= 8:
-            primed["dict_data"] = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        if dictionary:
+            primed["dict_data"] = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT)
             primed["dict_data"].precompute_compress(compression_params=params)
         _compressors[key] = zstandard.ZstdCompressor(compression_params=params, **primed)
     return _compressors[key]
@@ -51,7 +66,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, ea
     counts = {int(r["y"]): int(r["count"]) for r in known.groupBy("y").count().collect()}
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for y in (0, 1)]
     ids = F.broadcast(some[0].unionByName(some[1]))  # 2 * each small rows at most
-    return cut(docs.select("doc_id", "text").join(ids, "doc_id").select("text", "y"), "labelled"), counts
+    one = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of a repeated id, the least text
+    return cut(one.select("text", "y"), "labelled"), counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:

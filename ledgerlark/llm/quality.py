@@ -1,6 +1,6 @@
 """Quality by compression: a document's size under a zstandard dictionary of bad text against that of good text.
 
-Both dictionaries are trained by zstandard on windows of the labelled sample. A text is cut into windows of 2048 bytes,
+Both dictionaries are trained by zstandard, entropy tables included, on windows of the labelled sample's whole texts. A text is cut into windows of 2048 bytes,
 each window is compressed under both dictionaries, and the document's features are the size difference as a share of its
 bytes (over all of it, and of its best and worst window) and its share of bytes left under the good dictionary (copies
 inside a text shrink it). A logistic curve fitted on the sample makes them a probability of label 1.
@@ -13,19 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .compression import calibrate, compressor, labelled_sample, probability, window_lengths
+from .compression import calibrate, compressor, labelled_sample, probability, trained, window_lengths
 from .text import as_strings
 
 WINDOW_BYTES = 2048
 DICTIONARY_BYTES = 1 << 15
 SAMPLE_EACH = 3000
-#: Windows of one sampled document that dictionaries are trained on, spread over the whole document.
-TRAIN_WINDOWS = 4
+#: Windows of either class that dictionaries are trained on, at most, chosen by a hash of their bytes among all windows of the sample.
+TRAIN_WINDOWS = 8192
 RUN_BYTES = 1 << 22
 N_FEATURES = 5
 
@@ -75,26 +74,14 @@ def _features(column: pa.ChunkedArray | pa.Array, good: bytes, bad: bytes) -> np
     return np.concatenate(out) if out else np.zeros((0, N_FEATURES))
 
 
-def _train(windows: list[bytes]) -> bytes:
-    """A dictionary of at most DICTIONARY_BYTES; of few windows, their bytes themselves."""
-    if sum(map(len, windows)) <= 4 * DICTIONARY_BYTES:
-        return b"".join(windows)[-DICTIONARY_BYTES:]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, windows, k=64, d=8, level=1).as_bytes()
-    except zstandard.ZstdError:  # too alike to train on
-        return b"".join(windows)[-DICTIONARY_BYTES:]
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of whole texts."""
     for batch in batches:
         ys, found = [], []
         for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
             raw = (text or "").encode()
-            starts = range(0, len(raw), WINDOW_BYTES)
-            n, k = len(starts), TRAIN_WINDOWS
-            for at in starts if n <= k else [starts[(2 * i + 1) * n // (2 * k)] for i in range(k)]:
-                ys.append(y)
-                found.append(raw[at : at + WINDOW_BYTES])
+            found += [raw[at : at + WINDOW_BYTES] for at in range(0, len(raw), WINDOW_BYTES)]
+            ys += [y] * (len(found) - len(ys))
         yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(found, pa.binary())], names=["y", "w"])
 
 
@@ -105,8 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None, each: int = SAMPLE_EA
     Without labels of both classes the model is a constant near the only class (0.5 if there are none).
     """
     sample, counts = labelled_sample(docs, labels, "quality", F.lit(False) if held_out is None else held_out, each)
-    rows = sample.mapInArrow(_spread, "y int, w binary").collect()  # 2 * each * TRAIN_WINDOWS windows at most
-    good, bad = (_train(sorted(bytes(r["w"]) for r in rows if r["y"] == y)) for y in (1, 0))
+    windows = sample.mapInArrow(_windows, "y int, w binary").withColumn("h", F.xxhash64("w"))
+    some = [windows.where(F.col("y") == y).orderBy("h", "w").limit(TRAIN_WINDOWS).select("w").collect() for y in (0, 1)]
+    bad, good = (trained([bytes(r["w"]) for r in rows], DICTIONARY_BYTES, k=64, d=8) for rows in some)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

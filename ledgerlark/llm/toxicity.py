@@ -1,9 +1,9 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, windows compressed by both.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, windows compressed by both.
 
-Every word is written as three fixed-width codes (its first 4 bytes, its first 6 bytes, the whole word, lower-cased),
-so that a window's length under a dictionary depends on which words the dictionary knows and not on the shape of
-unknown words. The toxic dictionary holds the codes that mark toxic documents of the labelled sample most
-significantly, the ordinary one those that mark ordinary documents. Windows are 32 consecutive words of one document;
+Every word is written as three fixed-width codes (its first 4 bytes, its first 6 bytes, the whole word, lower-cased), so
+that a window's length under a dictionary depends on which words the dictionary knows and not on the shape of the others.
+Each dictionary is trained by zstandard on the labelled documents of its class, reduced to the codes that are markedly more
+frequent in it: what both classes write would fill both dictionaries. Windows are 32 consecutive words of one document;
 a document's features are what its windows save under the toxic dictionary against the ordinary one, and a logistic
 curve fitted on the sample turns them into a probability (the calibrated threshold is 0.5).
 """
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .compression import calibrate, compressor, labelled_sample, probability, window_lengths
-from .text import Words, chunks, mix, ranges_hash
+from .compression import calibrate, compressor, labelled_sample, probability, trained, window_lengths
+from .text import Words, chunks, mix, word_hashes
 
 WINDOW = 32
-DICTIONARY_CODES = 4096
+DICTIONARY_CODES, DICTIONARY_BYTES = 4096, 1 << 16
 SAMPLE_EACH = 3000
 #: A code must mark a class by this log-likelihood ratio and be so many times as frequent there.
 SIGNIFICANT, TIMES = 14.0, 8.0
@@ -41,14 +41,14 @@ def _codes(words: Words) -> np.ndarray:
     """(number of words, 3) codes."""
     s, e = words.starts, words.ends
     return np.column_stack(
-        [ranges_hash(words.buf, s, np.minimum(s + k, e) if k else e, base) for k, base in zip((4, 6, 0), _BASES)]
+        [word_hashes(words.buf, s, np.minimum(s + k, e) if k else e, base) for k, base in zip((4, 6, 0), _BASES)]
     )
 
 
 def _features(column: pa.ChunkedArray | pa.Array, toxic: bytes, ordinary: bytes) -> np.ndarray:
     """Per document: most bytes saved by a window, log of bytes saved by all, share of windows that save."""
     out = []
-    by_toxic, by_ordinary = compressor(toxic, 1, 5), compressor(ordinary, 1, 5)
+    by_toxic, by_ordinary = compressor(toxic, min_match=5), compressor(ordinary, min_match=5)
     for _, _, words in chunks(column, lower=True):
         codes = _codes(words)
         counts = np.diff(words.doc_words)
@@ -83,7 +83,7 @@ def _count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(counted: DataFrame, mine: str, other: str, n_mine: int, n_other: int) -> np.ndarray:
-    """The codes that mark one class, most significant last (nearest to the data, so cheapest to refer to)."""
+    """The codes that mark one class, ascending as unsigned."""
     a, b = F.col(mine).cast("double"), F.col(other).cast("double")
     p, n = (a + b) / F.lit(float(n_mine + n_other)), float(n_mine + n_other)
     x_log = lambda k, total, q: F.when(k > 0, k * F.log(q)).otherwise(0.0) + F.when(total - k > 0, (total - k) * F.log(1 - q)).otherwise(0.0)
@@ -98,7 +98,24 @@ def _marks(counted: DataFrame, mine: str, other: str, n_mine: int, n_other: int)
         .select("code")
         .collect()
     )
-    return np.array([r["code"] for r in found][::-1], dtype=np.int64)
+    return np.sort(np.array([r["code"] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def _training_text(toxic: np.ndarray, ordinary: np.ndarray):
+    """Each labelled document's text as the codes that mark its class, each once, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, out = batch["y"].to_numpy(), []
+            for first, _, words in chunks(batch["text"], lower=True):
+                codes = _codes(words)
+                for d in range(len(words.doc_words) - 1):
+                    own, marks = codes[words.doc_words[d] : words.doc_words[d + 1]].ravel(), toxic if y[first + d] else ordinary
+                    own = own[np.isin(own, marks)]
+                    out.append(own[np.sort(np.unique(own, return_index=True)[1])].tobytes())
+            yield pa.record_batch([batch["y"], pa.array(out, pa.binary())], names=["y", "codes"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out=None, each: int = SAMPLE_EACH) -> Model:
@@ -115,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None, each: int = SAMPLE_EA
         counted = (
             sample.mapInArrow(_count_codes, "code long, t long, o long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
         )
-        toxic, ordinary = _marks(counted, "t", "o", n_t, n_o).tobytes(), _marks(counted, "o", "t", n_o, n_t).tobytes()
+        run = _training_text(_marks(counted, "t", "o", n_t, n_o), _marks(counted, "o", "t", n_o, n_t))
+        rows = sample.mapInArrow(run, "y int, codes binary").collect()  # 2 * each rows of DICTIONARY_CODES codes at most
+        ordinary, toxic = (trained(sorted(bytes(r["codes"]) for r in rows if r["y"] == y), DICTIONARY_BYTES, k=16, d=8) for y in (0, 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
