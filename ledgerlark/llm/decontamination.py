@@ -6,7 +6,9 @@ the sum of the larger ones. Words are lower-cased (A-Z); shingles have five word
 
 Only windows that could reach the similarity by the number of shingles they share with items are fingerprinted. Items of
 one length are indexed by 21 blocks of their fingerprints' bits: two fingerprints at most 20 bits apart agree on a block,
-so the look-up misses none within the radius. What it finds is compared exactly.
+so the look-up misses none within the radius. What it finds is compared exactly. A similarity of 0.8 puts fingerprints
+9.7 bits apart on average, so a radius that loses about one true window in 20000 is 20 bits, and its blocks have only three
+or four bits: the look-up rejects few pairs by itself, the radius rejects most of what the number of shingles lets through.
 
 Items go to the tasks in blocks of bounded size, and the documents are scanned once for each block.
 """
@@ -18,22 +20,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from .simhash import _shingles
 from .store import text_bytes
-from .text import chunks, mix, ranges_hash
+from .text import chunks
 
 RADIUS = 20
 BLOCK_BYTES = 8 << 20
+SPAN = 1 << 15
 _BASE = 0x9FB21C651E98DF25
 _EDGES = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
 
 
 def _majority(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """SimHash of hashes[start:end] for every pair."""
+    """SimHash of hashes[start:end] for every pair; starts ascend. Works on spans of about SPAN hashes."""
+    if starts[-1] - starts[0] > SPAN:
+        cuts = [0, *(np.flatnonzero(np.diff((starts - starts[0]) // SPAN)) + 1).tolist(), len(starts)]
+        return np.concatenate([_majority(hashes, starts[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
     low, high = int(starts.min()), int(ends.max())
     bits = np.unpackbits(hashes[low:high].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     total = np.concatenate([np.zeros((1, 64), dtype=np.int64), np.cumsum(bits, axis=0, dtype=np.int64)])
@@ -48,16 +54,14 @@ class Items:
         self.ids, self.counts, self.of_length = ids, [], defaultdict(list)
         fingerprints, known = [], defaultdict(set)
         for first, end, words in chunks(pa.array(texts, pa.large_string()), lower=True):
-            hashes = words.hashes()
+            every, doc = words.shingle_hashes(words.hashes(), size, _BASE)
             for d in range(end - first):
-                a, z = int(words.doc_words[d]), int(words.doc_words[d + 1])
-                m = z - a
+                m = int(words.doc_words[d + 1] - words.doc_words[d])
                 if not m:  # an item without words matches nothing
                     self.counts.append(({}, 0))
                     fingerprints.append(0)
                     continue
-                at = np.arange(a, a + max(1, m - size + 1))
-                shingles = mix(ranges_hash(hashes, at, np.minimum(at + size, z), _BASE))
+                shingles = every[np.searchsorted(doc, d) : np.searchsorted(doc, d, side="right")]
                 values, counts = np.unique(shingles, return_counts=True)
                 self.counts.append((dict(zip(values.tolist(), counts.tolist())), len(shingles)))
                 fingerprints.append(int(_majority(shingles, np.array([0]), np.array([len(shingles)]))[0]))
@@ -104,8 +108,7 @@ def _matches(column, items: Items, size: int, similarity: float) -> Iterator[tup
     for first, _, words in chunks(column, lower=True):
         hashes = words.hashes()
         for k, known in items.known.items():
-            at, end, doc = _shingles(words, k)
-            shingles = mix(ranges_hash(hashes, at, end, _BASE))
+            shingles, doc = words.shingle_hashes(hashes, k, _BASE)
             place = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
             hit = known[place] == shingles
             if not hit.any():
@@ -133,21 +136,24 @@ def _matches(column, items: Items, size: int, similarity: float) -> Iterator[tup
                             yield first + int(d), items.ids[item], best[0], -best[1]
 
 
+def _sent(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """Broadcasts of (item ids, texts), of about BLOCK_BYTES each."""
+    items = benchmark.where("text is not null").select("item_id", "text").distinct()
+    n = max(1, -(-text_bytes(items)[1] // BLOCK_BYTES))
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """doc_id, item_id, similarity (of the best window), first_word: one row for each document and item it holds.
 
     docs: doc_id, text; benchmark: item_id, text. Null and empty texts hold nothing and are held nowhere; a repeated
-    document has its rows repeated; repeated items count once; ties between windows go to the first.
+    document has its rows repeated; repeated items count once; ties between windows go to the first. A null doc_id stays null.
     """
-    spark = docs.sparkSession
-    docs, items = docs.select("doc_id", "text"), benchmark.where("text is not null").select("item_id", "text").distinct()
-    n = max(1, -(-text_bytes(items)[1] // BLOCK_BYTES))
+    docs, out = docs.select("doc_id", "text"), None
     schema = StructType([docs.schema["doc_id"]]).add("item_id", LongType()).add("similarity", DoubleType()).add("first_word", LongType())
-    numbered = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    out = None
-    for k in range(n):
-        rows = numbered.where(F.col("_block") == k).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
-        sent = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    for sent in _sent(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Items(*sent.value, size)
@@ -162,3 +168,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         part = docs.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns; nothing is shuffled.
+
+    Every row is judged by its own text, whatever its doc_id; null and empty texts hold nothing and stay.
+    """
+    for sent in _sent(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Items(*sent.value, size)
+            for batch in batches:
+                keep = np.ones(len(batch), dtype=bool)
+                if index.known:
+                    keep[[x[0] for x in _matches(batch["text"], index, size, similarity)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import new_path
 from . import decontamination, html_text, packing, quality, simhash, substrings, token_codes, toxicity, url_queries, vector_search
 
 
@@ -49,7 +50,7 @@ def tokenizer_path() -> str:
 
 
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_codes.new_path(spark, "token_codes")
+    path = new_path(spark, "token_codes")
     token_codes.write(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=0, special_as_text=False)
     return token_codes.read_documents(spark, path)
 
@@ -77,18 +78,18 @@ def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf'))"
     )
     scaled = F.expr("transform(embedding, x -> cast(floor(1024 * double(x)) as bigint))")
-    index, grid = vector_search.build(vectors.select("vec_id", scaled.alias("v")))
-    return vector_search.search(index, grid, index.where("vec_id % 100 = 0").select("vec_id", "dims", "v"), k=10)
+    index = vector_search.build(vectors.select("vec_id", scaled.alias("v")))
+    return vector_search.search(index, index.rows.where("vec_id % 100 = 0"), k=10)
 
 
 OP6_SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x : floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x : floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.rid <> c.rid AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 

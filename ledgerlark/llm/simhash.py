@@ -23,23 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from .components import components
-from .store import cut
-from .text import Words, chunks
+from .store import cut, look_up
+from .text import chunks
 
 LARGE_BUCKET = 2048
 LANES = 1 << 16
 _ALL = (1 << 64) - 1
 
 
-def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word after the last, document) of each shingle; a document of fewer words is one shingle, of none has none."""
-    counts = np.diff(words.doc_words)
-    n = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
-    doc = np.repeat(np.arange(len(counts)), n)
-    first = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + words.doc_words[:-1][doc]
-    return first, np.minimum(first + size, words.doc_words[1:][doc]), doc
-
-
 def majority(hashes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """Per document a 64-bit word: the bits set in over half of its hashes (doc ascending); zero without hashes."""
     out = np.zeros(docs, dtype=np.uint64)
@@ -69,7 +60,7 @@ def fingerprints(column: pa.ChunkedArray | pa.Array, size: int = 3) -> np.ndarra
         joined[:] = words.buf[np.minimum(source, len(words.buf) - 1)] if len(words.buf) else 32
         joined[to + n] = 32
         raw = joined.tobytes()
-        first, end, doc = _shingles(words, size)
+        first, end, doc = words.shingles(size)
         spans = zip(to[first].tolist(), (to[end - 1] + n[end - 1]).tolist())
         hashes = np.fromiter((digest(raw[a:b], 42) for a, b in spans), dtype=np.uint64, count=len(first))
         out.append(majority(hashes, doc, len(words.doc_words) - 1))
@@ -263,4 +254,4 @@ def group(docs: DataFrame, size: int = 3, radius: int = 2, text: str = "text", d
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     whole = rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    return made.join(whole, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    return look_up(made, whole, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")

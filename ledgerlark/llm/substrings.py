@@ -8,7 +8,8 @@ repeat, and only those are hashed and counted in a second round.
 Both rounds work alike. Documents are dealt to small groups; each group sends the distinct hashes it holds, cut by value
 into buckets; a bucket's task marks those that stand in two groups or twice in one, and answers every group with one bit
 for each hash it sent. A passage that any number of documents share is so one row for each group and bucket at most.
-Windows are compared by 96 bits of hash.
+Windows are compared by two independent 64-bit hashes: among 10**13 windows, two different ones agree on both with a
+probability of about 10**-13.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .store import text_bytes
-from .text import Words, as_strings, chunks, ranges_hash
+from .store import cut, text_bytes, unused
+from .text import Words, as_strings, chunks, window_hashes
 
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
@@ -43,7 +44,7 @@ def _anchors(words: Words, hashes: np.ndarray, length: int) -> tuple[np.ndarray,
     first, end = _docs(words)
     at = np.arange(len(hashes))
     at = np.flatnonzero(_IN_COVER[(at - first) % PERIOD] & (at + size <= end) & (end - first >= length))
-    return at, ranges_hash(hashes, at, at + size, _A)
+    return at, window_hashes(hashes, size, _A)[at]
 
 
 def _windows(words: Words, hashes: np.ndarray, length: int, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +54,9 @@ def _windows(words: Words, hashes: np.ndarray, length: int, anchors: np.ndarray)
     np.add.at(step, np.maximum(first[anchors], anchors - PERIOD + 1), 1)
     np.add.at(step, anchors + 1, -1)
     at = np.flatnonzero((np.cumsum(step)[:-1] > 0) & (np.arange(len(hashes)) + length <= end))
-    return at, ranges_hash(hashes, at, at + length, _B), (ranges_hash(hashes, at, at + length, _C, second=True) >> np.uint64(32)).astype(np.uint32)
+    if not len(at):
+        return at, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    return at, window_hashes(hashes, length, _B)[at], window_hashes(words.hashes(second=True), length, _C)[at]
 
 
 def _distinct(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +91,7 @@ def _mark(table: pa.Table) -> pa.Table:
     sent = [np.frombuffer(x, dtype=np.uint64) for x in table["hashes"].to_pylist()]
     sizes = np.array([len(x) for x in sent])
     h = np.concatenate(sent)
-    more = np.frombuffer(b"".join(table["more"].to_pylist()), dtype=np.uint32)
+    more = np.frombuffer(b"".join(table["more"].to_pylist()), dtype=np.uint64)
     twice = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(table["twice"].to_pylist(), sizes)]) == 1
     order = np.lexsort((more, h)) if len(more) else np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
@@ -149,14 +152,14 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text", rejoin
     docs = docs.drop("n_words", "n_removed")
     size = text_bytes(docs, text)[1]
     groups, buckets = max(1, -(-size // GROUP_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    # the id of a row in its file deals out rows evenly, whatever values repeat
-    dealt = docs.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    names = docs.columns
+    # the id of a row in its file deals out rows evenly, whatever values repeat; it is written, so that all rounds see one deal
+    names, g = docs.columns, unused("_g", docs)
+    dealt = cut(docs.withColumn(g, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))), "dealt")
     schema = StructType([*docs.schema.fields]).add("n_words", LongType()).add("n_removed", LongType())
 
     def send_anchors(table: pa.Table) -> pa.Table:
         found = [_anchors(words, words.hashes(), length)[1] for _, _, words in chunks(table[text])]
-        return _send(table["_g"][0].as_py(), *_distinct(found), None, buckets)
+        return _send(table[g][0].as_py(), *_distinct(found), None, buckets)
 
     def repeated_windows(table: pa.Table, anchors: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         each = [(words, h, *_anchors(words, h, length)) for words in (w for _, _, w in chunks(table[text])) for h in [words.hashes()]]
@@ -165,11 +168,11 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text", rejoin
 
     def send_windows(table: pa.Table, anchors: pa.Table) -> pa.Table:
         if not len(table) or not len(anchors):
-            return _send(0, *_distinct([]), np.zeros(0, dtype=np.uint32), buckets)
+            return _send(0, *_distinct([]), np.zeros(0, dtype=np.uint64), buckets)
         found = repeated_windows(table, anchors)
         h, more = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
         distinct, first, counts = np.unique(h, return_index=True, return_counts=True)
-        return _send(table["_g"][0].as_py(), distinct, counts > 1, more[first], buckets)
+        return _send(table[g][0].as_py(), distinct, counts > 1, more[first], buckets)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows = answers.filter(pa.compute.equal(answers["_round"], 1)), answers.filter(pa.compute.equal(answers["_round"], 2))
@@ -194,9 +197,9 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text", rejoin
         columns = [new if name == text else table[name] for name in names]
         return pa.table([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_words", "n_removed"])
 
-    anchors = dealt.groupBy("_g").applyInArrow(send_anchors, SENT).groupBy("_bucket").applyInArrow(_mark, ANSWER)
+    anchors = dealt.groupBy(g).applyInArrow(send_anchors, SENT).groupBy("_bucket").applyInArrow(_mark, ANSWER)
     windows = (
-        dealt.groupBy("_g").cogroup(anchors.groupBy("_g")).applyInArrow(send_windows, SENT).groupBy("_bucket").applyInArrow(_mark, ANSWER)
+        dealt.groupBy(g).cogroup(anchors.groupBy("_g")).applyInArrow(send_windows, SENT).groupBy("_bucket").applyInArrow(_mark, ANSWER)
     )
     answers = anchors.withColumn("_round", F.lit(1)).unionByName(windows.withColumn("_round", F.lit(2)))
-    return dealt.groupBy("_g").cogroup(answers.groupBy("_g")).applyInArrow(remove, schema)
+    return dealt.groupBy(g).cogroup(answers.groupBy("_g")).applyInArrow(remove, schema)

@@ -282,19 +282,28 @@ def test_decontamination(spark, empty):
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 100), (2, 100), (7, 100), (7, 100), (8, 103), (9, 100)]
     assert {r["first_word"] for r in found if r["doc_id"] == 1} == {50}
     assert decontamination.contaminated(empty, benchmark).count() == 0
+    named = docs.withColumn("item_id", F.lit(1)).union(spark.createDataFrame([(None, item, 1), (1, "clean words", 1)], "doc_id long, text string, item_id int"))
+    kept = decontamination.clean(named, benchmark)
+    assert kept.columns == named.columns and sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", "clean words"), ("3", half), ("4", None), ("5", ""), ("6", text(500, 16))], key=lambda x: (x[0], x[1] or ""))
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
 def test_vector_search(spark):
     rng = np.random.default_rng(8)
     vectors = [(i, rng.integers(-500, 500, 12).tolist()) for i in range(300)]
-    vectors += [(300, vectors[0][1]), (301, vectors[0][1]), (302, None), (303, []), (None, vectors[0][1]), (304, [1, 2]), (304, [1, 2])]
-    index, grid = vector_search.build(spark.createDataFrame(vectors, "vec_id long, v array<bigint>"))
-    got = vector_search.search(index, grid, index.where("vec_id % 50 = 0 or vec_id = 304"), k=7).collect()
-    known = {i: np.array(v) for i, v in vectors if i is not None and v}
-    for q in [0, 50, 100, 150, 200, 250, 300, 304]:
-        want = sorted((-int(known[q] @ v), i) for i, v in known.items() if i != q and len(v) == len(known[q]))[:7]
-        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    vectors += [(300, vectors[0][1]), (301, vectors[0][1]), (302, None), (303, []), (None, vectors[0][1]), (304, [1, 2]), (304, [1, 2]), (50, vectors[50][1]), (100, [3] * 12)]
+    vectors += [(400 + i, vectors[7][1]) for i in range(30)] + [(2000 - i, (np.array(vectors[7][1]) + i % 2).tolist()) for i in range(20)]
+    table = [(r, *x) for r, x in enumerate(vectors)]
+    index = vector_search.build(spark.createDataFrame(vectors, "vec_id long, v array<bigint>").repartition(3))
+    got = vector_search.search(index, index.rows.where("vec_id % 50 = 0 or vec_id = 304"), k=7).collect()
+    want = []
+    for r, q, v in table:
+        if q is not None and v and (q % 50 == 0 or q == 304):
+            best = sorted((-int(np.dot(v, w)), i) for s, i, w in table if s != r and i is not None and w and len(w) == len(v))[:7]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+    none = vector_search.build(spark.createDataFrame([], "vec_id long, v array<bigint>"))
+    assert vector_search.search(none, none.rows).count() == 0
 
 
 def test_url_filters(spark):
@@ -322,12 +331,14 @@ def test_url_filters_beyond_the_broadcast_bound(spark, monkeypatch):
     assert url_filters.judge(captures, entries).where("verdict = 'block'").count() == 17
 
 
+ARTICLE = "<html><head><title>T</title></head><body>{}<nav>menu</nav><article><h1>A &amp; B</h1><p class='ad'>buy<p>One  <b>tw</b>o<br>three</article><footer>f</footer>"
+
+
 def test_html_text(spark):
-    article = "<html><head><title>T</title></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p class='ad'>buy<p>One  <b>tw</b>o<br>three</article><footer>f</footer>"
     plain = "<body><div>Site name</div><p>{}</p><div>All rights reserved</div></body>"
     pages = spark.createDataFrame(
-        [(1, "http://h.com/a/1", article, 3), (2, "http://h.com/b/1", plain.format("first"), 3), (3, "http://h.com/b/2", plain.format("second"), 3), (3, "http://h.com/b/2", plain.format("second"), 3),
-         (4, None, plain.format("x"), 3), (5, "http://g.com/", None, 3), (6, "http://g.com/", "", 3), (7, "http://h.com/a/2", article, 3)],
+        [(1, "http://h.com/a/1", ARTICLE.format(""), 3), (2, "http://h.com/b/1", plain.format("first"), 3), (3, "http://h.com/b/2", plain.format("second"), 3), (3, "http://h.com/b/2", plain.format("second"), 3),
+         (4, None, plain.format("x"), 3), (5, "http://g.com/", None, 3), (6, "http://g.com/", "", 3), (7, "http://h.com/a/2", ARTICLE.format(""), 3)],
         "page_id long, url string, html string, n_chars int",
     )
     found = html_text.extract(pages)
@@ -338,6 +349,62 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_differencing_decides_outside_articles(spark):
+    """Unmarked text beside an article goes if the nearest page has it too, and stays if not; the article's own lines stay."""
+    head = "<div>The Daily Page</div><div>{}</div>"
+    pages = [(k, f"http://h.com/news/{k}", ARTICLE.format(head.format(f"Standfirst {k}"))) for k in range(5)]
+    pages.append((9, "http://h.com/shop/9", "<div>Shop</div><p>goods</p>"))
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Standfirst {k} A & B One two three" for k in range(5)} | {9: "Shop goods"}
+
+
+def lcs_by_hand(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_html_text_matches_brute_force(spark, monkeypatch):
+    """Pages of unmarked lines over several hosts and folders, dealt over many parts: what is left is the page without what it shares with its nearest page."""
+    monkeypatch.setattr(html_text, "PART_ROWS", 7)
+    rng = np.random.default_rng(31)
+    pages = []
+    for k in range(80):
+        where = f"{'ab'[k % 2]}.com", f"/{'xyz'[k // 2 % 3]}/{k:03d}"
+        menu = [f"menu {where[0]} {i}" for i in range(4)] + [f"folder {where[1][1]} {i}" for i in range(3)]
+        body = [text(20, 4000 + k) for _ in range(1)] + [text(15, 6000 + 2 * k), text(15, 6001 + 2 * k)]
+        page_lines = menu[: int(rng.integers(2, 8))] + body
+        pages.append((k, f"http://{where[0]}{where[1]}", "".join(f"<p>{x}</p>" for x in page_lines), where, page_lines))
+    pages.append((80, "http://a.com/x/000", pages[0][2], ("a.com", "/x/000"), pages[0][4]))
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()}
+    order = sorted({(p[3], tuple(p[4])) for p in pages})
+    for k, _, _, where, own in pages:
+        at, beside = order.index((where, tuple(own))), []
+        for side, other in ((0, at - 1), (1, at + 1)):
+            if 0 <= other < len(order) and order[other][0][0] == where[0]:
+                steps = [(x, y) for x, y in zip(where[1].split("/"), order[other][0][1].split("/"))]
+                beside.append((-next((i for i, (x, y) in enumerate(steps) if x != y), len(steps)), side, list(order[other][1])))
+        near = min(beside)[2]
+        gone = [x for x in own if x in near]
+        assert lcs_by_hand(own, near) == len(gone)
+        assert found[k] == " ".join(x for x in own if x not in gone)
+
+
+def test_markup_of_odd_pages():
+    def kept(source):
+        return " ".join(line for line, zone in html_text.lines(source) if zone)
+
+    assert kept("<article><p title=it's>first text</p><p>second's</p></article>") == "first text second's"
+    assert kept("<article><section id='related-work'>a</section><p class='social-history'>b</p><div class='share-price'>c</div><div class='comments'>d</div></article>") == "a b c"
+    assert kept("<p>x <math><mi>y</mi></math></p><!-- open <p>z") == "x y"
+    assert kept("<p>a</p><script>var x = '<p>'</script>b<style>c") == "a b"
+    assert kept("a < b <p>c<br") == "a < b c" and kept(None) == "" and kept("<a href='x>y'>z</a>") == "z"
+    for odd in ("<a ", "<![CDATA[", "<a b='", "<!--", "<script ", "<a b=\">", "</", "<p ='\">"):
+        kept(odd * 200_000)
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(60):
@@ -363,9 +430,9 @@ def test_classifiers(spark, docs, empty, module, label):
     table = spark.createDataFrame(marked, f"doc_id long, text string, {label} int")
     held_out = F.col("doc_id") % 4 == 0
     model = module.fit(table.select("doc_id", "text"), table.select("doc_id", label), held_out)
-    scores = module.score(table.select("doc_id", "text", F.lit(1).alias(label + "s")), model).join(table.select("doc_id", label), "doc_id").collect()
+    scores = module.score(table.select("doc_id", "text", F.lit(1).alias(label + "s")), model).join(table.select("doc_id", F.col(label).alias("y")), "doc_id").collect()
     name = "toxicity" if module is toxicity else "quality"
-    right = [(r[name] >= 0.5) == (r[label] == 1) for r in scores if r["doc_id"] % 4 == 0]
+    right = [(r[name] >= 0.5) == (r["y"] == 1) for r in scores if r["doc_id"] % 4 == 0]
     assert np.mean(right) > 0.9
     every = module.score(docs, model).collect()
     assert len(every) == docs.count() and all(0 <= r[name] <= 1 for r in every)
@@ -408,12 +475,91 @@ def test_queries_encode_special_tokens_by_the_file(spark, tmp_path):
         assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in packed.collect()) == [(i, len(x) + 1, crc([*x, 2])) for i, x in enumerate(ids)]
 
 
-@pytest.mark.parametrize("n", [1, 4, 5, 7, 11, 40])
-def test_dictionary_windows_are_spread_over_the_text(n):
+def test_dictionary_windows_cover_whole_texts():
     import pyarrow as pa
 
-    raw = "".join(chr(97 + k % 26) * quality.WINDOW_BYTES for k in range(n))
-    (out,) = quality._spread(iter([pa.record_batch([pa.array([raw]), pa.array([1], pa.int32())], names=["text", "y"])]))
-    k = min(n, quality.TRAIN_WINDOWS)
-    want = [i if n == k else (2 * i + 1) * n // (2 * k) for i in range(k)]
-    assert [w[:1].decode() for w in out["w"].to_pylist()] == [chr(97 + i % 26) for i in want]
+    raw = "".join(chr(97 + k) * quality.WINDOW_BYTES for k in range(11)) + "zz"
+    (out,) = quality._windows(iter([pa.record_batch([pa.array([raw, None, ""]), pa.array([1, 0, 0], pa.int32())], names=["text", "y"])]))
+    assert b"".join(out["w"].to_pylist()).decode() == raw and out["y"].to_pylist() == [1] * 12
+
+
+def test_window_lengths_are_those_of_plain_compression():
+    import zstandard
+
+    from ledgerlark.llm.compression import compressor, trained, window_lengths
+
+    samples = [text(60, k).encode() for k in range(40)]
+    dictionary = trained(samples, 4096, k=64, d=8)
+    raw = zstandard.ZstdCompressionDict(dictionary)
+    assert raw.dict_id() > 0 and trained([], 4096, k=64, d=8) == b""
+    buf = b"".join(samples)
+    sizes = np.array([len(x) for x in samples])
+    got = window_lengths(compressor(dictionary), buf, np.cumsum(sizes) - sizes, sizes)
+    plain = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False, write_checksum=False)
+    assert got.tolist() == [len(plain.compress(x)) - 4 for x in samples]  # without the magic number
+
+
+def test_word_and_window_hashes_tell_thue_morse_words_apart():
+    from ledgerlark.llm.text import window_hashes, word_hashes
+
+    bits = [bin(k).count("1") & 1 for k in range(4096)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    buf = np.frombuffer((one + two + "abababab" + "ab").encode(), dtype=np.uint8)
+    starts, ends = np.array([0, 4096, 8192, 8192, 8192]), np.array([4096, 8192, 8194, 8200, 8202])
+    assert len(set(word_hashes(buf, starts, ends, 1).tolist())) == 5
+    for n in (2, 35, 64, 2048):
+        values = np.array([7, 9], dtype=np.uint64)[np.array(bits)]
+        found = {}
+        for i, h in enumerate(window_hashes(values, n, 3).tolist()):
+            assert found.setdefault(h, values[i : i + n].tobytes()) == values[i : i + n].tobytes()
+        assert len(found) == len({values[i : i + n].tobytes() for i in range(len(values) - n + 1)})
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = np.random.default_rng(21)
+    items = [(k, text(int(rng.integers(1, 60)), 300 + k)) for k in range(12)] + [(50, " ".join(["same"] * 9)), (51, "three little words")]
+    docs = []
+    for k in range(60):
+        words = items[k % len(items)][1].split()
+        for at in rng.integers(0, len(words), k % 4):
+            words[at] = f"new{at}"
+        docs.append((k, " ".join([*text(int(rng.integers(0, 30)), 700 + k).split(), *words, *text(int(rng.integers(0, 30)), 900 + k).split()])))
+    docs.append((60, " ".join(["same"] * 40)))
+
+    def shingles(words, size):
+        return Counter(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+
+    want = []
+    for d, t in docs:
+        w = t.split()
+        for i, x in items:
+            own = x.split()
+            size = min(5, len(own))
+            item, best = shingles(own, size), 0
+            for s in range(max(1, len(w) - len(own) + 1)):
+                window = shingles(w[s : s + len(own)], size)
+                both = sum((item & window).values())
+                best = max(best, both / sum((item | window).values()))
+            if best >= 0.8:
+                want.append((d, i, round(best, 9)))
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in found.collect()) == sorted(want) and len(want) > 20
+
+
+CLASH = {"_g": 1, "_row": 2, "_n": 3, "_id": 4, "_key": 5, "_bucket": 6, "fp": 7, "node": 8, "count": 9}
+
+
+def test_clashing_columns_stay(spark, tmp_path):
+    table = spark.createDataFrame([(1, text(80, 1)), (2, text(80, 1)), (3, None)], "doc_id long, text string").withColumns({c: F.lit(v) for c, v in CLASH.items()})
+    columns = table.columns
+    assert near_duplicates.keep_one(table).columns == columns
+    assert {tuple(r[c] for c in CLASH) for r in near_duplicates.keep_one(table).collect()} == {tuple(CLASH.values())}
+    kept = substrings.remove_repeats(table).collect()
+    assert {tuple(r[c] for c in CLASH) for r in kept} == {tuple(CLASH.values())} and sum(r["n_removed"] for r in kept) == 160
+    assert simhash.group(table).count() == 3
+    captures = table.withColumns({"url": F.lit("http://a.com/x"), "day": F.to_date(F.lit("2024-01-05"))})
+    entries = spark.createDataFrame([("block", "domain", "a.com", "add"), ("block", "domain", "", "add")], "list string, kind string, pattern string, action string").withColumn("day", F.to_date(F.lit("2024-01-01")))
+    judged = url_filters.judge(captures, entries)
+    assert {(r["verdict"], r["n_active"], *[r[c] for c in CLASH]) for r in judged.collect()} == {("block", 1, *CLASH.values())}
+    pages = table.withColumns({"url": F.lit("http://a.com/x"), "html": F.lit("<p>one</p>")})
+    assert {tuple(r[c] for c in CLASH) for r in html_text.extract(pages).collect()} == {tuple(CLASH.values())}
