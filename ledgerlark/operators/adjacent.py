@@ -20,3 +20,13 @@ def previous(ledger: DataFrame, block: int = BLOCK, **values: Column) -> DataFra
     dealt = ledger.withColumn("_block", F.explode(homes))
     dealt = dealt.withColumns({name: F.lag(value).over(in_order) for name, value in values.items()})
     return dealt.where(F.col("_block").eqNullSafe(own)).drop("_block")
+
+
+def following(ledger: DataFrame, block: int = BLOCK, **values: Column) -> DataFrame:
+    """As previous, but of the statement's row after: the first row of each block is copied to the block before."""
+    own = F.expr(f"row_idx div {block}")
+    homes = F.when((F.col("row_idx") % block == 0) & (F.col("row_idx") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    in_order = Window.partitionBy("statement_id", "_block").orderBy("row_idx")
+    dealt = ledger.withColumn("_block", F.explode(homes))
+    dealt = dealt.withColumns({name: F.lead(value).over(in_order) for name, value in values.items()})
+    return dealt.where(F.col("_block").eqNullSafe(own)).drop("_block")

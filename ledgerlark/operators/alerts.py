@@ -42,23 +42,39 @@ def circular_groups(ledger: DataFrame) -> DataFrame:
     )
 
 
-def findings(ledger: DataFrame) -> DataFrame:
-    """Per statement: n_rows, mismatches, zero_rows (balance at or below zero) and the rows of each risk type."""
+def flag_circular(ledger: DataFrame) -> DataFrame:
+    """Ledger rows with is_circular: whether circular() has the row."""
+    found = circular(ledger).select("statement_id", "row_idx", F.lit(True).alias("is_circular"))
+    return ledger.join(found, ["statement_id", "row_idx"], "left").fillna(False, ["is_circular"])
+
+
+def findings(ledger: DataFrame, least: int = 5) -> DataFrame:
+    """Per statement: n_rows, mismatches, zero_rows (balance at or below zero) and the rows of each risk type.
+
+    Rows are read once: first counted by statement and transfer counterparty, then by statement.
+    """
+    kind = F.col("kind")
+    name = F.when(kind.isin("Transfer In", "Transfer Out"), F.nullif(F.substring(F.regexp_extract(F.lower(F.coalesce("description", F.lit(""))), COUNTERPARTY, 1), 1, 24), F.lit("")))
     types = risk_types(F.col("description"))
-    base = (
+    counted = (
         reconcile(ledger)
-        .groupBy("statement_id")
+        .withColumn("kind", category(F.col("description")))
+        .groupBy("statement_id", name.alias("counterparty"))
         .agg(
-            F.count(F.lit(1)).alias("n_rows"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(kind == "Transfer In").alias("n_in"),
             F.count_if("balance_mismatch").alias("mismatches"),
             F.count_if(F.coalesce("balance", F.lit(0)) <= 0).alias("zero_rows"),
             *[F.count_if(F.array_contains(types, t)).alias(t) for t in TYPES[:3]],
         )
     )
-    loops = circular(ledger).groupBy("statement_id").agg(F.count(F.lit(1)).alias("circularTrading"))
-    return base.join(loops, "statement_id", "left").fillna(0, ["circularTrading"])
+    loop = F.col("counterparty").isNotNull() & (F.col("n") >= least) & (F.col("n_in") > 0) & (F.col("n_in") < F.col("n"))
+    return counted.groupBy("statement_id").agg(
+        F.sum("n").alias("n_rows"), *[F.sum(c).alias(c) for c in ("mismatches", "zero_rows", *TYPES[:3])], F.sum(F.when(loop, F.col("n")).otherwise(0)).alias("circularTrading")
+    )
 
 
+# The shares and counts at which an alert becomes more severe.
 def fraud_alerts(found: DataFrame) -> DataFrame:
     """One row for each alert of a statement: alert_type, severity and the number of rows it rests on."""
     share = F.col("mismatches") * 100.0 / F.col("n_rows")

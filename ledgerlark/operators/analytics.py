@@ -10,12 +10,16 @@ from ledgerlark.functions.rules import category, risk_types
 
 
 def duplicates(ledger: DataFrame) -> DataFrame:
-    """is_duplicate and duplicate_group (1-based index of the first member) for rows that share date, reference and amount."""
+    """is_duplicate and duplicate_group (1-based index of the first member) for rows that share date, reference and amount.
+
+    Rows without a reference are never duplicates and are not compared.
+    """
     amount = F.when(F.col("debit") > 0, F.col("debit")).otherwise(F.col("credit"))
-    key = Window.partitionBy("statement_id", "date", "ref_number", "amount")
-    found = ledger.withColumn("amount", amount).withColumn("n", F.count(F.lit(1)).over(key)).withColumn("group", F.min("row_idx").over(key) + 1)
-    is_duplicate = (F.col("n") > 1) & (F.coalesce("ref_number", F.lit("")) != "")
-    return found.withColumn("is_duplicate", is_duplicate).withColumn("duplicate_group", F.when(is_duplicate, F.col("group"))).drop("amount", "n", "group")
+    none = F.when(F.coalesce("ref_number", F.lit("")) == "", F.col("row_idx"))  # a group of its own for each such row
+    key = Window.partitionBy("statement_id", "date", "ref_number", "_amount", "_none")
+    found = ledger.withColumns({"_amount": amount, "_none": none}).withColumns({"_n": F.count(F.lit(1)).over(key), "_first": F.min("row_idx").over(key) + 1})
+    is_duplicate = (F.col("_n") > 1) & F.col("_none").isNull()
+    return found.withColumn("is_duplicate", is_duplicate).withColumn("duplicate_group", F.when(is_duplicate, F.col("_first"))).drop("_amount", "_none", "_n", "_first")
 
 
 def totals(ledger: DataFrame) -> DataFrame:

@@ -60,12 +60,12 @@ def audit(ledger: DataFrame, minor: int = 5) -> DataFrame:
 
 
 def liquidity(ledger: DataFrame) -> DataFrame:
-    """Per statement: least, largest and mean balance, the date of the first least one, and rows at or below zero."""
+    """Per statement: least, largest and mean balance (rounded to a minor unit), the date of the first least one, and rows at or below zero."""
     b = F.coalesce(F.col("balance"), F.lit(0))
     return ledger.groupBy("statement_id").agg(
         F.min(b).alias("min_balance"),
         F.max(b).alias("max_balance"),
-        (F.sum(b) / F.count(F.lit(1))).alias("avg_balance"),
+        half_up(F.sum(b) / F.count(F.lit(1))).cast("long").alias("avg_balance"),
         F.min_by("date", F.struct(b, F.col("row_idx"))).alias("max_dip_date"),
         F.count_if(b <= 0).alias("zero_days"),
     )

@@ -1,6 +1,6 @@
 """All named ledger queries."""
 
-from . import reports  # noqa: F401  (adds its queries)
+from . import checks, reports  # noqa: F401  (they add their queries)
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

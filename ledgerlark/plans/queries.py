@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.rules import CATEGORIES, HIGH_RISK, risk_types
-from ledgerlark.operators import analytics, balance
+from ledgerlark.operators import alerts, analytics, balance
 from ledgerlark.sources.ledger import ledger, ledger_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,7 @@ add(
 add(
     "liquidity",
     balance.liquidity,
-    """SELECT statement_id, min(balance) AS min_balance, max(balance) AS max_balance, sum(balance)::DOUBLE / count(*) AS avg_balance,
+    """SELECT statement_id, min(balance) AS min_balance, max(balance) AS max_balance, CAST(floor(sum(balance)::DOUBLE / count(*) + 0.5) AS BIGINT) AS avg_balance,
        arg_min(date, ROW(balance, row_idx)) AS max_dip_date, count(*) FILTER (WHERE balance <= 0) AS zero_days FROM ledger GROUP BY statement_id""",
 )
 add(
@@ -91,8 +91,11 @@ add(
 add(
     "monthly_cashflow",
     analytics.monthly_cashflow,
-    """SELECT statement_id, substr(date, 1, 7) AS month, CAST(sum(credit) AS BIGINT) AS credits, CAST(sum(debit) AS BIGINT) AS debits,
-       arg_max(balance, ROW(date, -row_idx)) AS closing, CAST(sum(credit) - sum(debit) AS BIGINT) AS net FROM ledger GROUP BY ALL""",
+    """SELECT statement_id, month, CAST(sum(credits) AS BIGINT) AS credits, CAST(sum(debits) AS BIGINT) AS debits,
+       coalesce(arg_max(balance, date) FILTER (WHERE balance <> 0 AND date > coalesce(latest, '')), 0) AS closing, CAST(sum(credits) - sum(debits) AS BIGINT) AS net
+       FROM (SELECT *, max(date) OVER (PARTITION BY statement_id, month ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM (
+         SELECT statement_id, substr(date, 1, 7) AS month, date, sum(credit) AS credits, sum(debit) AS debits, min(row_idx) AS first, arg_min(balance, row_idx) AS balance
+         FROM ledger GROUP BY ALL)) GROUP BY ALL""",
     kind="orders",
 )
 add(
@@ -100,15 +103,27 @@ add(
     lambda df: analytics.high_risk(df).select("statement_id", "row_idx", "description", "risk_type", "risk_flag"),
     " UNION ALL ".join(f"SELECT statement_id, row_idx, description, '{name}' AS risk_type, {_FLAG} AS risk_flag FROM ledger WHERE {test}" for name, test in _RISKS.items()),
 )
+LOOPS = f"""tra AS (SELECT * FROM (SELECT statement_id, row_idx, {_CATEGORY} AS category,
+  substr(regexp_extract(lower(description), '{alerts.COUNTERPARTY}', 1), 1, 24) AS counterparty FROM ledger)
+  WHERE category IN ('Transfer In', 'Transfer Out') AND counterparty <> ''),
+loops AS (SELECT statement_id, row_idx, counterparty FROM (SELECT *, count(*) OVER k AS n, count(*) FILTER (WHERE category = 'Transfer In') OVER k AS n_in FROM tra
+  WINDOW k AS (PARTITION BY statement_id, counterparty)) WHERE n >= 5 AND n_in > 0 AND n_in < n)"""
 add(
     "risk_counts",
-    lambda df: analytics.high_risk(df).groupBy("statement_id", "risk_type").agg(F.count(F.lit(1)).alias("n_rows")),
-    " UNION ALL ".join(f"SELECT statement_id, '{name}' AS risk_type, count(*) AS n_rows FROM ledger WHERE {test} GROUP BY statement_id" for name, test in _RISKS.items()),
+    lambda df: analytics.high_risk(df)
+    .select("statement_id", "risk_type")
+    .unionByName(alerts.circular(df).select("statement_id", F.lit("circularTrading").alias("risk_type")))
+    .groupBy("statement_id", "risk_type")
+    .agg(F.count(F.lit(1)).alias("n_rows")),
+    "SELECT statement_id, 'circularTrading' AS risk_type, count(*) AS n_rows FROM loops GROUP BY statement_id UNION ALL " + " UNION ALL ".join(f"SELECT statement_id, '{name}' AS risk_type, count(*) AS n_rows FROM ledger WHERE {test} GROUP BY statement_id" for name, test in _RISKS.items()),
+    views=(LOOPS,),
 )
 
 
 def _scored(df: DataFrame) -> DataFrame:
-    marked = analytics.duplicates(balance.reconcile(df)).withColumn("risk_flag", F.try_element_at(risk_types(F.col("description")), F.lit(-1)))
+    """Circular rows are flagged last, whatever keywords they have."""
+    marked = alerts.flag_circular(analytics.duplicates(balance.reconcile(df)))
+    marked = marked.withColumn("risk_flag", F.when(F.col("is_circular"), "circularTrading").otherwise(F.try_element_at(risk_types(F.col("description")), F.lit(-1))))
     return analytics.confidence(marked)
 
 
@@ -121,8 +136,8 @@ _SCORED = f"""conf AS (SELECT r.*, list_filter([
     CASE WHEN r.debit < 0 OR r.credit < 0 THEN 'negative_amount' END,
     CASE WHEN abs(r.difference) > 1 THEN 'balance_mismatch' END,
     CASE WHEN d.is_duplicate THEN 'duplicate' END,
-    CASE WHEN {' OR '.join(t.replace('description', 'r.description') for t in _RISKS.values())} THEN 'risk_flag' END], lambda x : x IS NOT NULL) AS reasons
-  FROM rec r JOIN dup d USING (statement_id, row_idx)),
+    CASE WHEN l.counterparty IS NOT NULL OR {' OR '.join(t.replace('description', 'r.description') for t in _RISKS.values())} THEN 'risk_flag' END], lambda x : x IS NOT NULL) AS reasons
+  FROM rec r JOIN dup d USING (statement_id, row_idx) LEFT JOIN loops l USING (statement_id, row_idx)),
 points AS (SELECT *, greatest(0, 100 - coalesce(list_sum(list_transform(reasons, lambda x : CASE x WHEN 'missing_date' THEN 30 WHEN 'missing_description' THEN 20
   WHEN 'both_debit_and_credit' THEN 25 WHEN 'missing_amount' THEN 25 WHEN 'missing_balance' THEN 30 WHEN 'negative_amount' THEN 20
   WHEN 'balance_mismatch' THEN 25 ELSE 5 END)), 0)) AS score FROM conf)"""
@@ -130,12 +145,12 @@ add(
     "row_confidence",
     lambda df: _scored(df).select("statement_id", "row_idx", "confidence_score", "confidence_reasons"),
     "SELECT statement_id, row_idx, CAST(score AS INTEGER) AS confidence_score, array_to_string(reasons, ',') AS confidence_reasons FROM points",
-    views=(_RECONCILED, _DUPLICATES, _SCORED),
+    views=(_RECONCILED, _DUPLICATES, LOOPS, _SCORED),
 )
 add(
     "confidence_summary",
     lambda df: analytics.confidence_summary(_scored(df)),
     """SELECT statement_id, CAST(floor(avg(score) + 0.5) AS BIGINT) AS average_score, count(*) FILTER (WHERE score < 70) AS low_confidence, count(*) AS total
        FROM points GROUP BY statement_id""",
-    views=(_RECONCILED, _DUPLICATES, _SCORED),
+    views=(_RECONCILED, _DUPLICATES, LOOPS, _SCORED),
 )

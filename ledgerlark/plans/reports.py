@@ -4,14 +4,9 @@ from __future__ import annotations
 
 from ledgerlark.operators import alerts, exports, flow
 
-from .queries import _CATEGORY, _RECONCILED, _RISKS, add
+from .queries import _CATEGORY, _RECONCILED, _RISKS, LOOPS as _LOOPS, add
 
 _BEFORE = "pre AS (SELECT *, lag(balance) OVER (PARTITION BY statement_id ORDER BY row_idx) AS before FROM ledger)"
-_LOOPS = f"""tra AS (SELECT * FROM (SELECT statement_id, row_idx, {_CATEGORY} AS category,
-  substr(regexp_extract(lower(description), '{alerts.COUNTERPARTY}', 1), 1, 24) AS counterparty FROM ledger)
-  WHERE category IN ('Transfer In', 'Transfer Out') AND counterparty <> ''),
-loops AS (SELECT statement_id, row_idx, counterparty FROM (SELECT *, count(*) OVER k AS n, count(*) FILTER (WHERE category = 'Transfer In') OVER k AS n_in FROM tra
-  WINDOW k AS (PARTITION BY statement_id, counterparty)) WHERE n >= 5 AND n_in > 0 AND n_in < n)"""
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE {test}) AS {name}" for name, test in _RISKS.items())
 _FOUND = f"""found AS (SELECT a.*, coalesce(l.n, 0) AS circularTrading FROM (
   SELECT statement_id, count(*) AS n_rows, count(*) FILTER (WHERE abs(difference) > 1) AS mismatches, count(*) FILTER (WHERE balance <= 0) AS zero_rows, {_COUNTS}

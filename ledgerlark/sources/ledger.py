@@ -44,4 +44,6 @@ def ledger_sql(kind: str, text: str = "string") -> str:
 
 
 def ledger(spark: SparkSession, sf_dir: str, kind: str = "events") -> DataFrame:
+    # Spark 4.1 may take the partitioning of a union for granted and lose rows in a join after it (61 of 67 were left in a test)
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.sql(ledger_sql(kind).replace(f"FROM {kind}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{kind}.parquet"))

@@ -5,8 +5,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import alerts, analytics, balance, exports, flow
-from ledgerlark.operators.adjacent import previous
+from ledgerlark.operators import alerts, analytics, balance, cleaning, exports, flow, statistics
+from ledgerlark.operators.adjacent import following, previous
 from ledgerlark.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +87,49 @@ def test_circular_needs_both_directions(spark):
     assert alerts.circular(both).count() == 5 and alerts.circular(one).count() == 0
 
 
+def test_circular_rows_lose_points_and_have_the_last_flag(spark):
+    df = rows(spark, (0, 7, 7), *[(5, 0, b) for b in (2, -3, -8, -13)]).withColumn("description", F.expr("if(row_idx = 0, 'received from bet365', 'transfer out to bet365')"))
+    scored = analytics.confidence(alerts.flag_circular(balance.reconcile(df)).withColumn("is_duplicate", F.lit(False)).withColumn("risk_flag", F.expr("if(is_circular, 'circularTrading', null)")))
+    assert {(r["confidence_score"], r["confidence_reasons"]) for r in scored.collect()} == {(95, "risk_flag")}
+    assert [r["circularTrading"] for r in alerts.findings(df).collect()] == [5]
+
+
+def test_signs_move_to_the_other_side(spark):
+    df = rows(spark, (-5, 0, 0), (0, -6, 0), (-5, 7, 0), (-5, -6, 0), (None, -3, 0))
+    assert [(r["debit"], r["credit"]) for r in cleaning.normalize_signs(df).orderBy("row_idx").collect()] == [(0, 5), (6, 0), (5, 7), (0, 5), (3, 0)]
+
+
+def test_only_transactions_stay(spark):
+    cases = [("2024-01-05", "Opening balance", 0), ("2024-01-05", "Opening balance", 5), ("soon", "x", 5), ("5 May", "x", 5), ("1/2/24", None, 5), (None, "x", 5), ("2024-01-05", "x", 0)]
+    df = spark.createDataFrame([(1, i, d, t, "r", a, 0, 0) for i, (d, t, a) in enumerate(cases)], SCHEMA)
+    assert [r["row_idx"] for r in cleaning.transactions_only(df).orderBy("row_idx").collect()] == [1, 3, 4]
+    assert [r["row_idx"] for r in cleaning.accepted(df).orderBy("row_idx").collect()] == [0, 1, 2, 3, 6]
+
+
+def test_words_are_repaired_and_keys_hold_names_only(spark):
+    row = spark.sql("select '  oww  Marrioitt\tXOWW ' as a, 'UPI-REF AB12CD Alice  & Bob no 77' as b").select(cleaning.repair_text(F.col("a")), cleaning.narration_key(F.col("b"))).first()
+    assert tuple(row) == ("O/W MARRIOTT XOWW", "alice bob")
+
+
+def test_statistics_of_few_and_many_amounts(spark):
+    df = rows(spark, *[(0, c, 0) for c in (10, 1000, 30, 20, 40)])
+    r = statistics.amount_statistics(df).first()
+    assert (r["n_amounts"], r["median"], r["robust_mean"]) == (5, 30.0, 30.0)
+    one = statistics.amount_statistics(rows(spark, (0, 10, 0))).first()
+    assert (one["deviation"], one["variation"], one["robust_mean"]) == (0.0, 0.0, 10.0)
+    assert statistics.amount_statistics(rows(spark, (0, 0, 0))).count() == 0
+    low = statistics.low_balance_frequency(rows(spark, (0, 0, 100_000), (0, 0, -5), (0, 0, 2_000_000), (0, 0, 200_000), (0, 0, None))).first()
+    assert (low["threshold"], low["low_share"]) == (100_000.0, 0.5)
+
+
+def test_reversed_statements_fit_backwards(spark):
+    # newest row first: each balance follows from the row below
+    df = rows(spark, (0, 5, 15), (0, 10, 10), (0, 0, 0))
+    r = statistics.direction_mismatch(df).first()
+    assert (r["forward"], r["reversed"], r["mismatch_ratio"]) == (1.0, 0.0, 0.0)
+    assert {r["row_idx"]: r["a"] for r in following(df, 2, a=F.col("balance")).collect()} == {0: 10, 1: 0, 2: None}
+
+
 def test_circular_groups(spark):
     df = rows(spark, (0, 7, 0), *[(5, 0, 0)] * 4).withColumn("description", F.expr("if(row_idx = 0, 'received from zed', 'transfer out to zed')"))
     assert [tuple(r) for r in alerts.circular_groups(df).collect()] == [(1, "zed", 1, 4, 27)]
@@ -111,7 +154,7 @@ def test_flow_of_a_single_row_and_without_balances(spark):
 
 def test_empty_ledger(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    for run in (balance.reconcile, flow.balance_flow, flow.delta_anomalies, flow.statement_summary, alerts.circular, alerts.findings, exports.csv_lines, exports.iif_lines, balance.audit, balance.liquidity, analytics.totals, analytics.category_breakdown, analytics.monthly_cashflow, analytics.high_risk):
+    for run in (balance.reconcile, flow.balance_flow, flow.delta_anomalies, flow.statement_summary, alerts.circular, alerts.findings, exports.csv_lines, exports.iif_lines, balance.audit, balance.liquidity, analytics.totals, analytics.category_breakdown, analytics.monthly_cashflow, analytics.high_risk, cleaning.normalize_signs, cleaning.transactions_only, cleaning.accepted, statistics.amount_statistics, statistics.low_balance_frequency, statistics.cash_share, statistics.instalments, statistics.direction_mismatch, statistics.date_order):
         assert run(empty).count() == 0
 
 
