@@ -16,6 +16,8 @@ LEAST_HOT = 4096
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder. Only a local session may lack the setting (tests do): its tasks and driver are one machine, and get one under /tmp."""
+    # Spark 4.1 may take the partitioning of a union for granted and lose rows in a join after it
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
