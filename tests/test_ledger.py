@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import alerts, analytics, balance, cleaning, exports, flow, statistics
+from ledgerlark.operators import alerts, analytics, balance, cleaning, exports, flow, statistics, underwriting
 from ledgerlark.operators.adjacent import following, previous
 from ledgerlark.plans.catalogue import ORACLE_SQL, QUERIES
 
@@ -152,9 +152,51 @@ def test_flow_of_a_single_row_and_without_balances(spark):
     assert flow.balance_flow(rows(spark, (0, 0, None), (0, 0, None))).first()["mismatch_ratio"] == 1.0
 
 
+def salaried(spark, months=6, salary=5_000_000, instalment=1_000_000):
+    """A salary on the first and a home loan on the fifth of each month."""
+    values = []
+    for m in range(1, months + 1):
+        values += [(1, len(values), f"2024-{m:02}-01", "ACME payroll", "r", 0, salary, 9_000_000), (1, len(values) + 1, f"05/{m:02}/2024", "Home loan nach", "r", instalment, 0, 8_000_000)]
+    return spark.createDataFrame(values, SCHEMA)
+
+
+def test_steady_salary_and_one_loan(spark):
+    r = underwriting.underwrite(salaried(spark)).first()
+    # income 50000 and instalment 10000 a month: 20 % of a cap of 50 %
+    assert (r["consistency"], r["avg_income"], r["avg_instalment"], r["ratio"], r["cap"], r["ratio_status"], r["grade"]) == (100, 5_000_000, 1_000_000, 20.0, 50.0, "excellent", "excellent")
+    assert (r["headroom"], r["max_new_instalment"], r["loan_months"], r["message"]) == (1_500_000, 1_380_000, 72, underwriting.MESSAGES[0])
+    assert r["factors"] == ["Income consistency score: 100%", "Low-balance frequency: 0.0%", "FOIR 20.0% vs cap 50.0%", "Recurring salary months: 6/6"]
+    types = underwriting.instalments_by_type(underwriting.recurring(salaried(spark)))
+    assert [tuple(t) for t in types.collect()] == [(1, "Housing", 6, 6_000_000)]
+
+
+def test_no_salary_is_not_eligible_and_unknown_dates_count_for_the_first_month(spark):
+    df = spark.createDataFrame([(1, 0, None, "car loan", None, 600_000, None, None), (1, 1, "2024-03-09", None, None, None, None, None), (1, 2, "2024-02-09", "", "", 0, 0, 0)], SCHEMA)
+    months = underwriting.monthly_income(df, underwriting.recurring(df))
+    assert sorted((m["month"], m["instalment_outflow"]) for m in months.collect()) == [("2024-02", 600_000), ("2024-03", 0)]
+    r = underwriting.underwrite(df).first()
+    assert (r["grade"], r["message"], r["avg_income"], r["avg_instalment"]) == ("ineligible", underwriting.NO_ROOM, 0, 450_000)
+
+
+def test_corrections_by_whole_text_then_by_part(spark):
+    df = spark.createDataFrame([("Shop", "Old"), ("shop two", "Old"), (None, "Old")], "description string, category string")
+    found = df.select(underwriting.corrected_category(F.col("description"), F.col("category"), [("sho", "Part"), ("shop", "Whole")]).alias("c"))
+    assert [r["c"] for r in found.collect()] == ["Whole", "Part", "Old"]
+    loans = underwriting.recurring(salaried(spark, instalment=0).withColumn("description", F.lit("gift")), [("gift", "Salary/Income")])
+    assert {r["side"] for r in loans.collect()} == {"salary"}
+
+
+def test_tiers_hide_terms(spark):
+    result = underwriting.underwrite(salaried(spark))
+    shown = {plan: underwriting.masked(result, underwriting.plan_tier(F.lit(plan))).first() for plan in ("unlimited", " PER_PAGE_STANDARD ", "per_page_lite", "free", None)}
+    assert shown["free"] is None and shown[None] is None
+    assert shown["unlimited"]["cap"] == 50.0 and shown[" PER_PAGE_STANDARD "]["cap"] is None
+    assert len(shown[" PER_PAGE_STANDARD "]["factors"]) == 4 and shown["per_page_lite"]["factors"] == []
+
+
 def test_empty_ledger(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    for run in (balance.reconcile, flow.balance_flow, flow.delta_anomalies, flow.statement_summary, alerts.circular, alerts.findings, exports.csv_lines, exports.iif_lines, balance.audit, balance.liquidity, analytics.totals, analytics.category_breakdown, analytics.monthly_cashflow, analytics.high_risk, cleaning.normalize_signs, cleaning.transactions_only, cleaning.accepted, statistics.amount_statistics, statistics.low_balance_frequency, statistics.cash_share, statistics.instalments, statistics.direction_mismatch, statistics.date_order):
+    for run in (underwriting.underwrite, underwriting.recurring, balance.reconcile, flow.balance_flow, flow.delta_anomalies, flow.statement_summary, alerts.circular, alerts.findings, exports.csv_lines, exports.iif_lines, balance.audit, balance.liquidity, analytics.totals, analytics.category_breakdown, analytics.monthly_cashflow, analytics.high_risk, cleaning.normalize_signs, cleaning.transactions_only, cleaning.accepted, statistics.amount_statistics, statistics.low_balance_frequency, statistics.cash_share, statistics.instalments, statistics.direction_mismatch, statistics.date_order):
         assert run(empty).count() == 0
 
 
