@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import new_path
-from . import decontamination, html_text, packing, quality, simhash, substrings, token_codes, toxicity, url_queries, vector_search
+from . import decontamination, hard_negatives, html_text, packing, quality, resampling, resampling_sql, simhash, substrings, token_codes, toxicity, url_queries, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,37 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), similarity=0.8, size=5)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf'))"
+    vectors = _table(spark, sf_dir, "embeddings").where(F.expr(f"label is not null and embedding is not null and {finite}"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.expr("transform(embedding, x -> cast(floor(256 * double(x)) as bigint))")
+    return hard_negatives.mine(vectors.select("vec_id", label.alias("label"), scaled.alias("v")), anchors=F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, a.label = c.label AS same, c.rid AS own, c.vec_id,
+    CASE WHEN len(a.e) = 0 THEN 0 ELSE CAST(list_inner_product(a.e, c.e) AS BIGINT) END AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.rid <> c.rid AND len(a.e) = len(c.e)),
+p AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, own) AS place FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.rid, p.own ORDER BY s.score DESC, s.vec_id, s.own) AS INTEGER) AS rank
+  FROM p JOIN s ON s.rid = p.rid AND NOT s.same AND p.place <= 5 AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target, buckets=10_000, percent=25, least_words=20, seed=7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -109,8 +140,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": url_queries.op8_url_filters,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_resampling": op12_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_vector_search": OP6_SQL,
     "op8_url_filters": url_queries.ORACLE,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_resampling": resampling_sql.ORACLE,
 }
