@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import new_path
-from . import decontamination, hard_negatives, html_text, packing, quality, resampling, resampling_sql, simhash, substrings, token_codes, toxicity, url_queries, vector_search
+from . import decontamination, hard_negatives, html_text, language, packing, quality, resampling, resampling_sql, simhash, substrings, token_codes, toxicity, url_queries, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +129,13 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, target, buckets=10_000, percent=25, least_words=20, seed=7)
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_id_rest(4) == 2, F.lit(False))
+    model = language.fit(docs.select("doc_id", "text", "lang"), held_out)
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -142,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_resampling": op12_resampling,
+    "op13_language": op13_language,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_vector_search": OP6_SQL,
