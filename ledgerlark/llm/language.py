@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 from .text import as_strings, mix
 
@@ -285,7 +285,9 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 
     A span reaches from its first word's first letter to its last word's last one. Texts without letters have no span.
     """
-    schema = StructType([docs.schema["doc_id"]]).add("span", "int").add("lang", "string").add("start", "long").add("end", "long").add("letters", "long")
+    schema = StructType([docs.schema["doc_id"]]).add("span", IntegerType()).add("lang", StringType())
+    for name in ("start", "end", "letters"):
+        schema = schema.add(name, LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
