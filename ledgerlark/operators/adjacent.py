@@ -30,3 +30,18 @@ def following(ledger: DataFrame, block: int = BLOCK, **values: Column) -> DataFr
     dealt = ledger.withColumn("_block", F.explode(homes))
     dealt = dealt.withColumns({name: F.lead(value).over(in_order) for name, value in values.items()})
     return dealt.where(F.col("_block").eqNullSafe(own)).drop("_block")
+
+
+def renumber(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of a filtered ledger with row_idx counted anew from 0 without gaps, in the old order.
+
+    A block's rows are numbered by themselves and start after the rows of the statement's blocks before it; what meets in one
+    task is a block of rows or a statement's block counts.
+    """
+    rows = rows.withColumn("_block", F.expr(f"row_idx div {block}"))
+    counts = rows.groupBy("statement_id", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("statement_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("statement_id", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    in_order = Window.partitionBy("statement_id", "_block").orderBy("row_idx")
+    numbered = rows.withColumn("_place", F.row_number().over(in_order)).join(starts, ["statement_id", "_block"])
+    return numbered.withColumn("row_idx", F.col("_start") + F.col("_place") - 1).drop("_block", "_start", "_place").select(*[c for c in rows.columns if c != "_block"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.dates import statement_day
 from ledgerlark.functions.rules import category
 
-from .adjacent import following, previous
+from .adjacent import following, previous, renumber
 
 # Least threshold of a low balance (minor units) and its share of the median; words of cash withdrawals.
 LOW_BALANCE, LOW_SHARE = 100_000, 0.12
@@ -83,14 +84,17 @@ def direction_mismatch(ledger: DataFrame) -> DataFrame:
 
 
 def date_order(ledger: DataFrame) -> DataFrame:
-    """Per statement with ISO dates: steps against the order (the lesser of both directions) and plausible steps (-2 to 45 days, the better direction), as shares.
+    """Per statement: steps against the order (the lesser of both directions) and plausible steps (-2 to 45 days, the better direction), as shares.
 
-    Steps to or from a date that can't be read are left out; without steps the first share is 0 and the second 1.
+    Rows whose date can't be read are left out first, and the neighbours that remain are compared. With one readable date
+    there is no step: the first share is 0 and the second 1. Without any, both are 0.
     """
-    day = F.try_to_date("date", "yyyy-MM-dd")
-    step = F.datediff(day, F.col("before"))
+    dated = ledger.select("statement_id", "row_idx", statement_day(F.col("date")).alias("day")).where("day is not null")
+    step = F.datediff("day", "before")
     most = lambda low, high: F.count_if((step >= low) & (step <= high))
-    counted = previous(ledger, before=day).groupBy("statement_id").agg(
+    counted = previous(renumber(dated), before=F.col("day")).groupBy("statement_id").agg(
         F.count(step).alias("n"), F.least(F.count_if(step < 0), F.count_if(step > 0)).alias("against"), F.greatest(most(-2, 45), most(-45, 2)).alias("plausible")
     )
-    return counted.select("statement_id", F.coalesce(F.try_divide("against", "n"), F.lit(0.0)).alias("violation_ratio"), F.coalesce(F.try_divide("plausible", "n"), F.lit(1.0)).alias("continuity"))
+    every = ledger.select("statement_id").distinct().join(counted, "statement_id", "left")
+    continuity = F.when(F.col("n").isNull(), 0.0).when(F.col("n") == 0, 1.0).otherwise(F.try_divide("plausible", "n"))
+    return every.select("statement_id", F.coalesce(F.try_divide("against", "n"), F.lit(0.0)).alias("violation_ratio"), continuity.alias("continuity"))
