@@ -27,7 +27,7 @@ from .text import as_strings, mix
 BUCKETS = 1 << 16
 #: A run of letters without a break (some scripts write none) is taken in pieces of so many.
 PIECE = 24
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 21
 SWITCH_PENALTY = 12.0
 #: A language writes a script that holds this share of its letters; other languages score this for a word of it.
 SCRIPT_SHARE, FOREIGN = 0.01, -60.0
@@ -100,33 +100,35 @@ class Words:
         #: words[at[d]:at[d + 1]] belong to text d
         self.at = np.searchsorted(self.starts, bounds)
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """(bucket, word) of the n-grams of two to four characters with the word's edges, and of whole words."""
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word."""
         size = self.ends - self.starts
+        points = np.append(self.points, np.zeros(PIECE, dtype=np.uint32)).astype(np.uint64)
+        out = mix(size.astype(np.uint64))
+        for k in range(0, PIECE, 3):  # three characters at a time
+            own = np.flatnonzero(size > k)
+            if not len(own):
+                break
+            at, value = self.starts[own] + k, np.zeros(len(own), dtype=np.uint64)
+            for j in range(3):
+                value |= np.where(size[own] > k + j, points[at + j], 0).astype(np.uint64) << np.uint64(21 * j)
+            out[own] = mix(out[own] ^ value)
+        return out
+
+    def features(self, some: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, place in some) of the n-grams of two to four characters, edges included, and of the whole word, of some words."""
+        starts, size = self.starts[some], self.ends[some] - self.starts[some]
         padded = size + 2
         first = np.cumsum(padded) - padded
-        flat = np.zeros(int(padded.sum()), dtype=np.uint64)
         word = np.repeat(np.arange(len(size)), padded)
+        flat = np.zeros(int(padded.sum()), dtype=np.uint64)
         k = np.arange(len(flat)) - first[word] - 1
         inside = (k >= 0) & (k < size[word])
-        flat[inside] = self.points[(self.starts[word] + k)[inside]]
-        buckets, owners = [], []
-        # words of up to 26 characters, three at a time: one chained value for the whole word
-        whole = mix(size.astype(np.uint64))
-        for at in range(0, PIECE + 2, 3):
-            own = np.flatnonzero(padded > at)
-            if not len(own):
-                break
-            value = np.zeros(len(own), dtype=np.uint64)
-            for j in range(3):
-                there = padded[own] > at + j
-                value[there] |= flat[first[own[there]] + at + j] << np.uint64(21 * j)
-            whole[own] = mix(whole[own] ^ value)
-        buckets.append(whole & np.uint64(BUCKETS - 1))
-        owners.append(np.arange(len(size)))
+        flat[inside] = self.points[(starts[word] + k)[inside]]
+        buckets, owners = [hashes[some] & np.uint64(BUCKETS - 1)], [np.arange(len(size))]
         run = flat
         for n in range(2, 5):
-            run = mix((run[:-1] << np.uint64(1)) ^ flat[n - 1 :] ^ np.uint64(n << 40)) if n > 2 else mix((flat[:-1] << np.uint64(21)) | flat[1:])
+            run = mix(((run[:-1] << np.uint64(21)) | flat[n - 1 :]) ^ np.uint64(n << 42)) if len(run) else run
             same = word[: len(run)] == word[n - 1 :]
             buckets.append(run[same] & np.uint64(BUCKETS - 1))
             owners.append(word[: len(run)][same])
@@ -167,14 +169,14 @@ def fit(docs: DataFrame, held_out: Column | None = None) -> Model:
             langs = batch["lang"].to_pylist()
             for first, end, words in _chunks(batch["text"]):
                 names, of_doc = np.unique(np.array(langs[first:end], dtype=object), return_inverse=True)
-                of_word = np.repeat(of_doc, np.diff(words.at))
-                bucket, word = words.features()
-                counts = np.bincount(of_word[word] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                scripts = np.bincount(of_word * len(SCRIPTS) + words.script, weights=words.letters, minlength=len(names) * len(SCRIPTS)).astype(np.int64).reshape(-1, len(SCRIPTS))
+                of_word, hashes = np.repeat(of_doc, np.diff(words.at)), words.hashes()
                 for i, name in enumerate(names):
-                    have = totals.setdefault(name, (np.zeros(BUCKETS, dtype=np.int64), np.zeros(len(SCRIPTS), dtype=np.int64)))
-                    have[0].__iadd__(counts[i])
-                    have[1].__iadd__(scripts[i])
+                    own = np.flatnonzero(of_word == i)
+                    _, some, times = np.unique(hashes[own], return_index=True, return_counts=True)  # a word that repeats is taken apart once
+                    bucket, word = words.features(own[some], hashes)
+                    grams, scripts = totals.setdefault(name, (np.zeros(BUCKETS, dtype=np.int64), np.zeros(len(SCRIPTS), dtype=np.int64)))
+                    grams += np.bincount(bucket, weights=times[word], minlength=BUCKETS).astype(np.int64)
+                    scripts += np.bincount(words.script[own], weights=words.letters[own], minlength=len(SCRIPTS)).astype(np.int64)
         for name, own in totals.items():
             for kind, values in zip(("ngram", "script"), own):
                 some = np.flatnonzero(values)
@@ -193,40 +195,58 @@ def fit(docs: DataFrame, held_out: Column | None = None) -> Model:
 
 
 def _scores(words: Words, model: Model) -> np.ndarray:
-    """(words, languages): the sum of the n-grams' logs where the language writes the word's script, FOREIGN below the best where not."""
-    bucket, word = words.features()
-    out = np.empty((len(words.starts), len(model.languages)))
+    """(words, languages): the sum of the n-grams' logs, less the best one; FOREIGN where the language doesn't write the word's script."""
+    hashes = words.hashes()
+    _, some, which = np.unique(hashes, return_index=True, return_inverse=True)  # a word that repeats is scored once
+    bucket, word = words.features(some, hashes)
+    out = np.empty((len(some), len(model.languages)))
     for k in range(len(model.languages)):
         out[:, k] = np.bincount(word, weights=model.logs[bucket, k], minlength=len(out))
-    writes = model.scripts[:, words.script].T
+    writes = model.scripts[:, words.script[some]].T
     nobody = ~writes.any(axis=1)
     best = np.where(writes, out, -np.inf).max(axis=1, initial=-np.inf)
     best[nobody] = 0
-    out = np.where(writes, out, best[:, None] + FOREIGN)
+    out = np.where(writes, out - best[:, None], FOREIGN)
     out[nobody] = 0  # no language is known to write it: the words around decide
-    return out - out.max(axis=1, keepdims=True) if len(model.languages) else out
+    return out[which]
 
 
 def _viterbi(score: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
-    """The best labels of each text's words, all texts in step. score: (words, languages); words[at[d]:at[d + 1]] are text d."""
-    sizes = np.diff(at)
+    """The best labels of each text's words. score: (words, languages); words[at[d]:at[d + 1]] are text d, none empty.
+
+    A word whose best label leads by more than two changes cost has that label in every best labelling. Texts are cut before
+    such words, and the parts, whose first labels and next labels are known, are labelled in step.
+    """
+    two = np.partition(score, -2, axis=1)[:, -2:]
+    fixed = two[:, 1] - two[:, 0] > 2 * penalty
+    top = score.argmax(axis=1)
+    begins = fixed.copy()
+    begins[at[:-1]] = True
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.append(starts, len(score)))
+    follows = np.append(starts[1:], len(score))  # the word after the part
+    known = np.append(fixed, False)[follows] & ~np.isin(follows, at)
+    score = np.where(fixed[:, None] & (np.arange(score.shape[1]) != top[:, None]), -np.inf, score)
     order = np.argsort(-sizes, kind="stable")
-    first, sizes = at[:-1][order], sizes[order]
+    first, sizes, follows, known = starts[order], sizes[order], follows[order], known[order]
+    longest = int(sizes.max(initial=0))
+    parts = np.searchsorted(-sizes, -np.arange(longest), side="left")  # how many parts have a word t
     back = np.zeros(score.shape, dtype=np.int32)  # from which label each label of a word came
+    stays = np.arange(score.shape[1])[None, :]
     best = score[first].copy()
-    last = best.copy()
-    for t in range(1, int(sizes.max(initial=0))):
-        n = int(np.searchsorted(-sizes, -t, side="left"))  # texts with a word t
-        top = best[:n].argmax(axis=1)
-        change = best[np.arange(n), top] - penalty
-        moves = change[:, None] > best[:n]
-        back[first[:n] + t] = np.where(moves, top[:, None], np.arange(score.shape[1])[None, :])
-        best[:n] = np.where(moves, change[:, None], best[:n]) + score[first[:n] + t]
-        last[:n] = best[:n]
-    label = np.zeros(len(score), dtype=np.int64)
-    now = last.argmax(axis=1)
-    for t in range(int(sizes.max(initial=0)) - 1, -1, -1):
-        n = int(np.searchsorted(-sizes, -t, side="left"))
+    for t in range(1, longest):
+        n = parts[t]
+        now = best[:n]
+        lead = now.argmax(axis=1)
+        change = now[np.arange(n), lead][:, None] - penalty
+        moves = change > now
+        back[first[:n] + t] = np.where(moves, lead[:, None], stays)
+        best[:n] = np.where(moves, change, now) + score[first[:n] + t]
+    # a change to the next part's first label costs as any other
+    best -= penalty * (known[:, None] & (stays != top[np.minimum(follows, len(score) - 1)][:, None]))
+    label, now = np.zeros(len(score), dtype=np.int64), best.argmax(axis=1)
+    for t in range(longest - 1, -1, -1):
+        n = parts[t]
         label[first[:n] + t] = now[:n]
         now[:n] = back[first[:n] + t, now[:n]]
     return label

@@ -163,10 +163,10 @@ def test_labels_are_the_best_of_all_labellings(model, monkeypatch):
         pass
 
     for _ in range(200):
-        sizes = rng.integers(0, 6, 3)
+        sizes = rng.integers(0, 7, 3)
         words = Some()
         words.at = np.concatenate([[0], np.cumsum(sizes)])
-        score = rng.integers(-9, 1, (int(sizes.sum()), 3)).astype(float)
+        score = rng.integers(-14, 1, (int(sizes.sum()), 3)).astype(float)
         monkeypatch.setattr(language, "_scores", lambda *_: score)
         three = language.Model(("a", "b", "c"), None, None)
         label = language.label_words(words, three, penalty=4.5)
