@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import folds
+from ledgerlark.functions.money import half_up
+from ledgerlark.operators import folds, repair
 from ledgerlark.sources.ledger import ledger, ledger_sql
 
 from .queries import ORACLE_SQL, QUERIES
@@ -65,3 +66,74 @@ add_spoilt(
        FROM issues GROUP BY statement_id)""",
     views=(_EXPORT,),
 )
+
+#: Statements in either order, some without dates, with amounts on the wrong side, slipped decimal points, wrong digits and missing values.
+_REVERSED = "CASE WHEN statement_id % 3 = 0 THEN count(*) OVER (PARTITION BY statement_id) - 1 - row_idx ELSE row_idx END AS row_idx"
+_WRONG = "row_idx % 6 = 1 OR row_idx % 11 = 0"
+_SLIP = "CASE WHEN row_idx % 8 = 3 THEN 1000 WHEN row_idx % 13 = 4 THEN 100 ELSE 1 END"
+_NOISE = "CASE WHEN row_idx % 7 = 2 THEN 3000 ELSE 0 END"
+_AMOUNTS = [
+    f"CAST(floor(CASE WHEN {_WRONG} THEN credit ELSE debit END / {_SLIP}) AS BIGINT) + CASE WHEN debit > 5000 THEN {_NOISE} ELSE 0 END AS debit",
+    f"CAST(floor(CASE WHEN {_WRONG} THEN debit ELSE credit END / {_SLIP}) AS BIGINT) AS credit",
+]
+_DATED = "CASE WHEN statement_id % 4 = 1 THEN NULL ELSE date END AS date"
+_MISSING = "CASE WHEN row_idx % 47 = 5 THEN NULL ELSE balance END AS balance"
+MIXED = ["statement_id", _REVERSED, "description", _DATED, *_AMOUNTS, _MISSING]
+#: The same in statement order.
+ORDERED = ["statement_id", "row_idx", "description", _DATED, *_AMOUNTS, _MISSING]
+
+_AROUND = """around AS (SELECT *, lag(balance) OVER w AS before, lead(balance) OVER w AS after, try_cast(date AS DATE) AS day, lag(try_cast(date AS DATE)) OVER w AS day_before,
+  count(*) OVER (PARTITION BY statement_id) AS n_rows FROM ledger WINDOW w AS (PARTITION BY statement_id ORDER BY row_idx))"""
+_WAYS = """ways AS (SELECT statement_id, CASE WHEN up >= 2 AND up >= 2 * down THEN 'forward' WHEN down >= 2 AND down >= 2 * up THEN 'reverse' WHEN n_ahead < 2 AND n_back < 2 THEN 'forward'
+    WHEN n_ahead = 0 THEN 'reverse' WHEN n_back > 0 AND back < ahead THEN 'reverse' ELSE 'forward' END AS direction FROM (
+  SELECT statement_id, count(*) FILTER (day > day_before) AS up, count(*) FILTER (day < day_before) AS down, sum(abs(before + credit - debit - balance)) AS ahead,
+    count(before + balance) AS n_ahead, sum(abs(after + credit - debit - balance)) AS back, count(after + balance) AS n_back FROM around GROUP BY statement_id)),
+near AS (SELECT a.*, direction, CASE direction WHEN 'forward' THEN before ELSE after END AS near, row_idx = CASE direction WHEN 'forward' THEN 0 ELSE n_rows - 1 END AS edge
+  FROM around a JOIN ways USING (statement_id))"""
+_HINTS = " OR ".join("contains(words, '{}')".format(h) for h in repair.CREDIT_HINTS), " OR ".join("contains(words, '{}')".format(h) for h in repair.DEBIT_HINTS)
+_SIDES = f"""sides AS (SELECT *, CASE WHEN edge THEN n_rows > 1 AND coalesce((is_credit AND NOT is_debit AND debit > 0 AND credit = 0) OR (is_debit AND NOT is_credit AND credit > 0 AND debit = 0), false)
+    ELSE coalesce((debit > 0) <> (credit > 0) AND stated - swapped >= 2 AND (swapped <= greatest(2, floor(greatest(debit, credit) * 0.002::DOUBLE + 0.5)) OR swapped <= floor(stated * 0.2::DOUBLE + 0.5)), false) END AS is_swapped
+  FROM (SELECT *, {_HINTS[0]} AS is_credit, {_HINTS[1]} AS is_debit FROM (
+    SELECT *, abs(near + credit - debit - balance) AS stated, abs(near + debit - credit - balance) AS swapped,
+      concat(' ', trim(regexp_replace(lower(coalesce(description, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM near)))"""
+add_spoilt(
+    "balance_direction",
+    MIXED,
+    lambda df: repair.direction(df).select("statement_id", "direction"),
+    "SELECT statement_id, direction FROM ways",
+    views=(_AROUND, _WAYS),
+)
+add_spoilt(
+    "corrected_sides",
+    MIXED,
+    lambda df: repair.correct_sides(df).select("statement_id", "row_idx", "debit", "credit", "direction", "is_swapped"),
+    """SELECT statement_id, row_idx, CASE WHEN is_swapped THEN credit ELSE debit END AS debit, CASE WHEN is_swapped THEN debit ELSE credit END AS credit, direction, is_swapped FROM sides""",
+    views=(_AROUND, _WAYS, _SIDES),
+)
+
+
+def _harmonized(source: str, target: str) -> str:
+    """One pass over (debit, credit) of source: the first of the nearest candidates, if it is near enough."""
+    scaled = []
+    for k in repair.SCALES:
+        d, c = f"CAST(floor(debit * {k}::DOUBLE + 0.5) AS BIGINT)", f"CAST(floor(credit * {k}::DOUBLE + 0.5) AS BIGINT)"
+        scaled += [f"CASE WHEN debit > 0 AND credit = 0 THEN [{d}, 0] WHEN credit > 0 AND debit = 0 THEN [0, {c}] END", f"CASE WHEN debit > 0 AND credit = 0 THEN [0, {d}] WHEN credit > 0 AND debit = 0 THEN [{c}, 0] END"]
+    ratio = "(moved::DOUBLE / nullif(greatest(debit, credit), 0))"
+    last = f"CASE WHEN (greatest(debit, credit) >= 100000 AND ({ratio} >= 8 OR {ratio} <= 0.125::DOUBLE)) OR {ratio} BETWEEN 0.4::DOUBLE AND 2.5::DOUBLE THEN CASE WHEN step > 0 THEN [0, moved] ELSE [moved, 0] END END"
+    pairs = f"[[debit, credit], [credit, debit], {', '.join(scaled)}, {last}]"
+    passed = "SELECT * EXCLUDE (debit, credit, step, moved, offs, pairs, best, fits), CASE WHEN fits THEN pairs[best][1] ELSE debit END AS debit, CASE WHEN fits THEN pairs[best][2] ELSE credit END AS credit"
+    fits = """coalesce(step <> 0 AND offs[best] + 4 < offs[1] AND (offs[best] <= greatest(2, floor(greatest(debit, credit, moved) * 0.002::DOUBLE + 0.5))
+      OR offs[best] <= floor(offs[1] * 0.15::DOUBLE + 0.5)), false)"""
+    steps = f"SELECT *, {pairs} AS pairs FROM (SELECT *, balance - near AS step, abs(balance - near) AS moved FROM {source})"
+    offs = f"SELECT *, list_transform(pairs, lambda p : abs(near + p[2] - p[1] - balance)) AS offs FROM ({steps})"
+    return f"{target} AS ({passed} FROM (SELECT *, {fits} AS fits FROM (SELECT *, list_position(offs, list_min(offs)) AS best FROM ({offs}))))"
+
+
+add_spoilt(
+    "harmonized_amounts",
+    MIXED,
+    lambda df: repair.harmonize(df).select("statement_id", "row_idx", "debit", "credit", "is_harmonized"),
+    """SELECT s.statement_id, s.row_idx, s.debit, s.credit, s.debit <> l.debit OR s.credit <> l.credit AS is_harmonized
+       FROM second s JOIN ledger l ON s.statement_id = l.statement_id AND s.row_idx = l.row_idx""",
+    views=(_AROUND, _WAYS, _harmonized("near", "first"), _harmonized("first", "second")),
+)
