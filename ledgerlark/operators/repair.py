@@ -163,15 +163,20 @@ def _harmonized(near: Column, debit: Column, credit: Column) -> Column:
     none = F.lit(0)
     step = F.col("balance") - near
     moved, seen = F.abs(step), F.greatest(F.abs(debit), F.abs(credit))
-    candidates = [_pair(debit, credit), _pair(credit, debit)]
-    for scale in SCALES:
-        d, c = _rounded(F.abs(debit) * scale), _rounded(F.abs(credit) * scale)
-        only_d, only_c = (debit > 0) & (credit == 0), (credit > 0) & (debit == 0)
-        candidates += [F.when(only_d, _pair(d, none)).when(only_c, _pair(none, c)), F.when(only_d, _pair(none, d)).when(only_c, _pair(c, none))]
+    only_d, only_c = (debit > 0) & (credit == 0), (credit > 0) & (debit == 0)
+
+    def slipped(scale: Column) -> Column:
+        x = _rounded(seen * scale)
+        d, c = F.when(only_d, x).otherwise(0), F.when(only_c, x).otherwise(0)
+        return F.array(_pair(d, c), _pair(c, d))
+
+    scaled = F.flatten(F.transform(F.array(*[F.lit(float(k)) for k in SCALES]), slipped))
     ratio = F.try_divide(moved, seen)
     slip, close = (seen >= 100_000) & ((ratio >= 8) | (ratio <= 0.125)), (seen > 0) & ratio.between(0.4, 2.5)
-    candidates.append(F.when(slip | close, F.when(step > 0, _pair(none, moved)).otherwise(_pair(moved, none))))
-    ranked = F.transform(F.array(*candidates), lambda x, i: F.when(x.isNotNull(), F.struct(_off(near, x["debit"], x["credit"]).alias("off"), i.alias("i"), x.alias("pair"))))
+    whole = F.when(slip | close, F.array(F.when(step > 0, _pair(none, moved)).otherwise(_pair(moved, none))))
+    stay, no_more = F.array(_pair(debit, credit), _pair(credit, debit)), F.slice(scaled, 1, 0)
+    candidates = F.concat(stay, F.when(only_d | only_c, scaled).otherwise(no_more), F.coalesce(whole, no_more))
+    ranked = F.transform(candidates, lambda x, i: F.struct(_off(near, x["debit"], x["credit"]).alias("off"), i.alias("i"), x.alias("pair")))
     stated = _off(near, debit, credit)
 
     def accept(best: Column) -> Column:
@@ -180,7 +185,7 @@ def _harmonized(near: Column, debit: Column, credit: Column) -> Column:
         return F.when(fits, best["pair"]).otherwise(F.struct(debit.cast("long").alias("debit"), credit.cast("long").alias("credit")))
 
     kept = F.struct(debit.cast("long").alias("debit"), credit.cast("long").alias("credit"))
-    return F.when(stated.isNull(), kept).otherwise(let(F.array_min(F.array_compact(ranked)), accept))
+    return F.when(stated.isNull(), kept).otherwise(let(F.array_min(ranked), accept))
 
 
 def harmonize(ledger: DataFrame, ways: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.money import half_up
 from ledgerlark.operators import folds, repair
 from ledgerlark.sources.ledger import ledger, ledger_sql
 
@@ -137,3 +136,74 @@ add_spoilt(
        FROM second s JOIN ledger l ON s.statement_id = l.statement_id AND s.row_idx = l.row_idx""",
     views=(_AROUND, _WAYS, _harmonized("near", "first"), _harmonized("first", "second")),
 )
+
+
+def _repaired(x: str) -> str:
+    """The edit of amount x nearest to the step's size ``moved``."""
+    digits = f"lpad(CAST({x} AS VARCHAR), CAST(greatest(length(CAST({x} AS VARCHAR)), 3) AS INT), '0')"
+    edits = f"flatten(list_transform(range(1, length({digits}) + 1), lambda place : list_transform(range(10), lambda digit : {x} + (digit - CAST(substr({digits}, place, 1) AS BIGINT)) * CAST(pow(10, length({digits}) - place) AS BIGINT))))"
+    scaled = ", ".join([f"{x} * {k}" for k in (10, 100, 1000)] + [f"CAST(floor({x} / {k}::DOUBLE + 0.5) AS BIGINT)" for k in (10, 100, 1000)])
+    every = f"list_concat([{x}], list_filter(list_concat([{scaled}], {edits}), lambda v : v > 0))"
+    best = f"{every}[list_position(list_transform({every}, lambda v : abs(v - moved)), list_min(list_transform({every}, lambda v : abs(v - moved))))]"
+    return f"CASE WHEN {x} > 0 AND moved > 0 AND abs({best} - moved) <= greatest(200, moved * 0.05::DOUBLE) THEN {best} ELSE {x} END"
+
+
+_SUPPORTED = f"""fixed AS (SELECT *, {_repaired("d")} AS fd, {_repaired("c")} AS fc FROM (SELECT *, abs(coalesce(debit, 0)) AS d, abs(coalesce(credit, 0)) AS c, balance - before AS step, abs(balance - before) AS moved FROM around)),
+supported AS (SELECT *, CASE WHEN d > 0 AND c > 0 THEN CASE WHEN abs(fc - moved) < abs(fd - moved) OR (abs(abs(fc - moved) - abs(fd - moved)) <= 1 AND step >= 0) THEN fc ELSE fd END WHEN d > 0 THEN fd ELSE fc END AS amount FROM fixed)"""
+add_spoilt(
+    "locked_columns",
+    ORDERED,
+    lambda df: repair.lock_columns(df).select("statement_id", "row_idx", "debit", "credit"),
+    """SELECT statement_id, row_idx, CASE WHEN put THEN CASE WHEN step > 0 THEN 0 ELSE amount END ELSE debit END AS debit, CASE WHEN put THEN CASE WHEN step > 0 THEN amount ELSE 0 END ELSE credit END AS credit
+       FROM (SELECT *, coalesce(step <> 0 AND amount > 0, false) AS put FROM supported)""",
+    views=(_AROUND, _SUPPORTED),
+)
+_EMPTIED = [*ORDERED[:4], *[f"CASE WHEN row_idx % 17 = 2 THEN 0 ELSE {x.rsplit(' AS ', 1)[0]} END AS {x.rsplit(' AS ', 1)[1]}" for x in _AMOUNTS], _MISSING]
+add_spoilt(
+    "validated_rows",
+    _EMPTIED,
+    lambda df: repair.validate_rows(df).select("statement_id", "row_idx", "debit", "credit", "balance_inferred", "low_confidence"),
+    """SELECT statement_id, row_idx, CASE WHEN step IS NULL THEN debit WHEN put THEN CASE WHEN step > 0 THEN 0 ELSE x END ELSE d END AS debit,
+         CASE WHEN step IS NULL THEN credit WHEN put THEN CASE WHEN step > 0 THEN x ELSE 0 END ELSE c END AS credit,
+         put AND abs(x - moved) <= 100 AND d = 0 AND c = 0 AS balance_inferred, row_idx > 0 AND NOT coalesce(fits, false) AND NOT (put AND abs(x - moved) <= 100) AS low_confidence
+       FROM (SELECT *, coalesce(NOT fits AND step <> 0 AND x > 0, false) AS put FROM (
+         SELECT *, CASE WHEN d = 0 AND c = 0 THEN moved ELSE amount END AS x, abs(before + c - d - balance) <= 100 AS fits FROM supported))""",
+    views=(_AROUND, _SUPPORTED),
+)
+_ORDER = """orders AS (SELECT statement_id, CASE WHEN any_value(n_rows) < 2 THEN 'chron' WHEN any_value(up + down) >= 2 AND any_value(n_dated) >= 3 AND any_value(up) >= ceil(any_value(up + down) * 0.6::DOUBLE) THEN 'chron'
+    WHEN any_value(up + down) >= 2 AND any_value(n_dated) >= 3 AND any_value(down) >= ceil(any_value(up + down) * 0.6::DOUBLE) THEN 'reverse'
+    WHEN count(*) FILTER (abs(after + debit - credit - balance) + 1 < abs(after + credit - debit - balance)) + 1 < count(*) FILTER (abs(before + debit - credit - balance) + 1 < abs(before + credit - debit - balance)) THEN 'reverse'
+    ELSE 'chron' END AS row_order
+  FROM around LEFT JOIN (SELECT statement_id, count(*) AS n_dated, count(*) FILTER (day > b) AS up, count(*) FILTER (day < b) AS down
+    FROM (SELECT statement_id, day, lag(day) OVER (PARTITION BY statement_id ORDER BY row_idx) AS b FROM around WHERE day IS NOT NULL) GROUP BY statement_id) USING (statement_id) GROUP BY statement_id),
+settled AS (SELECT *, CASE WHEN move THEN CASE WHEN step > 0 THEN 0 ELSE greatest(debit, credit) END ELSE debit END AS d, CASE WHEN move THEN CASE WHEN step > 0 THEN greatest(debit, credit) ELSE 0 END ELSE credit END AS c
+  FROM (SELECT *, coalesce((debit > 0) <> (credit > 0) AND swapped + 1 < stated AND stated - swapped >= 2 AND swapped <= greatest(2, greatest(debit, credit) * 0.002::DOUBLE)
+      AND ((step > 0 AND debit > 0) OR (step < 0 AND credit > 0)), false) AS move
+    FROM (SELECT *, balance - near AS step, abs(near + credit - debit - balance) AS stated, abs(near + debit - credit - balance) AS swapped
+      FROM (SELECT *, CASE row_order WHEN 'reverse' THEN after ELSE before END AS near FROM around JOIN orders USING (statement_id)))))"""
+_MIXED_EMPTIED = [*MIXED[:4], *_EMPTIED[4:]]
+add_spoilt(
+    "settled_sides",
+    MIXED,
+    lambda df: repair.settle_sides(df).select("statement_id", "row_idx", "row_order", "debit", "credit"),
+    "SELECT statement_id, row_idx, row_order, d AS debit, c AS credit FROM settled",
+    views=(_AROUND, _ORDER),
+)
+add_spoilt(
+    "filled_sides",
+    _MIXED_EMPTIED,
+    lambda df: repair.settle_sides(df, fill=True).select("statement_id", "row_idx", "debit", "credit"),
+    """SELECT statement_id, row_idx, CASE WHEN fill THEN CASE WHEN step > 0 THEN 0 ELSE x END ELSE d END AS debit, CASE WHEN fill THEN CASE WHEN step > 0 THEN x ELSE 0 END ELSE c END AS credit
+       FROM (SELECT *, CASE WHEN d = 0 AND c = 0 THEN abs(step) ELSE greatest(d, c) END AS x, coalesce(step <> 0 AND ((d = 0 AND c = 0) OR (d > 0 AND c > 0)), false) AS fill FROM settled)""",
+    views=(_AROUND, _ORDER),
+)
+_HEADERS = "SELECT statement_id, CASE WHEN statement_id % 5 = 1 THEN NULL ELSE 100000 + statement_id % 4 END AS opening_balance, CASE WHEN statement_id % 3 = 2 THEN NULL ELSE {last} + statement_id % 4 - CASE WHEN statement_id % 7 = 3 THEN 1 ELSE 0 END END AS closing_balance"
+add_spoilt(
+    "offset_balances",
+    ["statement_id", "row_idx", "debit", "credit", "balance"],
+    lambda df: repair.apply_offsets(df, df.groupBy("statement_id").agg(F.max_by("balance", "row_idx").alias("last")).selectExpr(*_HEADERS.format(last="last").removeprefix("SELECT ").split(", "))),
+    f"""SELECT l.statement_id, l.row_idx, l.debit, l.credit, balance + coalesce(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN abs(a - b) <= 1 AND abs(a) <= 10 THEN CAST(floor((a + b) / 2::DOUBLE + 0.5) AS BIGINT) END
+         WHEN abs(coalesce(a, b)) <= 10 THEN coalesce(a, b) END, 0) AS balance
+       FROM ledger l JOIN (SELECT statement_id, opening_balance - (first.balance - first.credit + first.debit) AS a, closing_balance - last AS b FROM (
+         {_HEADERS.format(last="last")}, * EXCLUDE (statement_id) FROM (SELECT statement_id, arg_min(ledger, row_idx) AS first, arg_max(balance, row_idx) AS last FROM ledger GROUP BY statement_id))) h USING (statement_id)""",
+)
