@@ -32,16 +32,23 @@ def following(ledger: DataFrame, block: int = BLOCK, **values: Column) -> DataFr
     return dealt.where(F.col("_block").eqNullSafe(own)).drop("_block")
 
 
-def renumber(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows of a filtered ledger with row_idx counted anew from 0 without gaps, in the old order.
+def renumber(rows: DataFrame, block: int = BLOCK, by: tuple[str, ...] = ("row_idx",), group: str = "statement_id") -> DataFrame:
+    """Rows with row_idx counted anew from 0 without gaps in each group, in the order of ``by`` (nulls last).
 
-    A block's rows are numbered by themselves and start after the rows of the statement's blocks before it; what meets in one
-    task is a block of rows or a statement's block counts.
+    The last name in ``by`` is a long that counts something; rows are dealt by the others and blocks of it. A block's rows are
+    numbered by themselves and start after the rows of the blocks before it; what meets in one task is a block of rows or a
+    group's block counts. Rows that agree in all of ``by`` are numbered in any order.
     """
-    rows = rows.withColumn("_block", F.expr(f"row_idx div {block}"))
-    counts = rows.groupBy("statement_id", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("statement_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("statement_id", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    in_order = Window.partitionBy("statement_id", "_block").orderBy("row_idx")
-    numbered = rows.withColumn("_place", F.row_number().over(in_order)).join(starts, ["statement_id", "_block"])
-    return numbered.withColumn("row_idx", F.col("_start") + F.col("_place") - 1).drop("_block", "_start", "_place").select(*[c for c in rows.columns if c != "_block"])
+    out = [*rows.columns, *([] if "row_idx" in rows.columns else ["row_idx"])]
+    keys = {f"_k{i}": F.col(c) for i, c in enumerate(by[:-1])} | {"_block": F.expr(f"{by[-1]} div {block}")}
+    rows = rows.withColumns(keys)
+    order = [F.asc_nulls_last(k) for k in keys]
+    counts = rows.groupBy(group, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias("_group"), *[F.col(k).alias(f"_of{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    in_order = Window.partitionBy(group, *keys).orderBy(F.asc_nulls_last(by[-1]))
+    met = F.col(group).eqNullSafe(F.col("_group"))
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_of{k}"))
+    numbered = rows.withColumn("_place", F.row_number().over(in_order)).join(starts, met)
+    return numbered.withColumn("row_idx", F.col("_start") + F.col("_place") - 1).select(*out)

@@ -14,10 +14,11 @@ from .queries import ORACLE_SQL, QUERIES
 
 
 def add_spoilt(name: str, spoil: list[str], build, sql: str, kind: str = "orders", views: tuple[str, ...] = ()) -> None:
-    """As queries.add, over a ledger of the columns in spoil, with SQL that may be recursive."""
+    """As queries.add, over a ledger of the columns in spoil, with SQL that may be recursive (empty: none)."""
     QUERIES[name] = lambda spark, sf_dir: build(ledger(spark, sf_dir, kind).selectExpr(*spoil))
     text = ", ".join(spoil)
-    ORACLE_SQL[name] = f"WITH RECURSIVE plain AS ({ledger_sql(kind, 'varchar')}), ledger AS MATERIALIZED (SELECT {text} FROM plain){''.join(f', {v}' for v in views)} {sql}"
+    if sql:
+        ORACLE_SQL[name] = f"WITH RECURSIVE plain AS ({ledger_sql(kind, 'varchar')}), ledger AS MATERIALIZED (SELECT {text} FROM plain){''.join(f', {v}' for v in views)} {sql}"
 
 
 #: Balances that drift by 0 to 12 units in runs, by one unit often, and are missing now and then.
