@@ -48,11 +48,14 @@ BOILERPLATE = frozenset(
     " gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related respond share sharing"
     " sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: In an article, where class names also describe its parts, only these count as parts of a name, and not beside the others.
+REMARKS = frozenset("advert advertisement comment comments cookie disqus newsletter signup sponsored".split())
+NO_REMARK = frozenset("closed count disabled enabled free no not off on open without".split())
 SITE_HEADER = frozenset("header masthead site-header page-header main-header top-header global-header".split())
 
 #: A comment, a declaration, or a tag; quantifiers never give back, so a search takes linear time.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?/](?![A-Za-z])[^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?>[^>\"'=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)>",
+    r"<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![A-Za-z]))[^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?>[^>\"'=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)>",
     re.S,
 )
 _RAW_NAMES = frozenset(RAW.split("|"))
@@ -61,7 +64,7 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?
 
 
 def _hides(name: str, attributes: str, article: bool) -> bool:
-    """Whether an element holds no article text by its name or attributes. In an article, only a whole class or id counts, not its parts."""
+    """Whether an element holds no article text by its name or attributes. In an article, a class or id counts as a whole, and few words as parts of it."""
     if name in NOT_ARTICLE:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
@@ -72,7 +75,8 @@ def _hides(name: str, attributes: str, article: bool) -> bool:
             return True
         if key in ("class", "id"):
             for word in value.split():
-                if word in SITE_HEADER or not BOILERPLATE.isdisjoint([word] if article else re.split(r"[^a-z0-9]+", word)):
+                parts = re.split(r"[^a-z0-9]+", word)
+                if word in SITE_HEADER or word in BOILERPLATE or not (REMARKS if article else BOILERPLATE).isdisjoint(parts) and not (article and not NO_REMARK.isdisjoint(parts)):
                     return True
     return False
 
@@ -94,10 +98,15 @@ def _tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
 
 
 def lines(source: str | None) -> list[tuple[str, int]]:
-    """(line, zone) of a page: zone 0 can hold no article text, 1 is open, 2 lies in an article."""
+    """(line, zone) of a page: zone 0 can hold no article text, 1 is open, 2 lies in an article.
+
+    A hidden element inside a block leaves the block's line whole: what stood before it goes on after it. It ends with its own
+    end tag, or at the latest with that of the block around it.
+    """
     out: list[tuple[str, int]] = []
     held: list[str] = []
-    hidden, depth, article = "", 0, 0
+    outside: list[str] = []  # of the block around a hidden element, what stood before it
+    hidden, depth, article, inner = "", 0, 0, 0
 
     def flush() -> None:
         if held:
@@ -106,6 +115,13 @@ def lines(source: str | None) -> list[tuple[str, int]]:
                 out.append((text, 0 if hidden else 2 if article else 1))
             held.clear()
 
+    def show() -> None:
+        nonlocal hidden
+        flush()
+        held.extend(outside)
+        outside.clear()
+        hidden = ""
+
     for before, slash, name, attributes in _tokens(source or ""):
         if before:
             held.append(before)
@@ -118,18 +134,26 @@ def lines(source: str | None) -> list[tuple[str, int]]:
                 depth = 0  # its end tag, or the next element, which ends it
             elif name == hidden and name not in VOID:
                 depth += -1 if slash else 0 if attributes.endswith("/") else 1
+            elif hidden not in BLOCK and name in BLOCK and name not in VOID:
+                inner += -1 if slash else 1
+                depth = 0 if inner < 0 else depth
             if depth > 0:
                 continue
-            hidden = ""
+            around, own = inner < 0, name == hidden
+            show()
+            if around:
+                flush()
             if slash and name not in ("article", "main"):
                 continue
-            if name not in IMPLIED and name not in BLOCK:
+            if own and name not in IMPLIED and name not in BLOCK:
                 continue
         if name in ("article", "main"):
             article = max(0, article + (-1 if slash else 1))
         elif not slash and name not in VOID and not attributes.endswith("/") and _hides(name, attributes, article > 0):
-            flush()
-            hidden, depth = name, 1
+            outside.extend(held)
+            held.clear()
+            hidden, depth, inner = name, 1, 0
+    show()
     flush()
     return out
 

@@ -21,7 +21,7 @@ def _id_rest(n: int):
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    held_out = _id_rest(5) == 0
+    held_out = F.coalesce(_id_rest(5) == 0, F.lit(False))
     model = toxicity.fit(docs, labels, held_out)
     return toxicity.score(docs.select("doc_id", "text"), model).select(
         "doc_id",
@@ -33,7 +33,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    held_out = _id_rest(3) == 1
+    held_out = F.coalesce(_id_rest(3) == 1, F.lit(False))
     model = quality.fit(docs, labels, held_out)
     return quality.score(docs.select("doc_id", "text"), model).select(
         "doc_id",
