@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.operators import lines
+from ledgerlark.operators import lines, tables
 from ledgerlark.sources.ledger import ledger
 
 from .queries import QUERIES
@@ -29,3 +29,20 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["assembled_rows"] = lambda spark, sf_dir: lines.assemble_rows(statement_lines(spark, sf_dir))
+
+
+#: Two tables of different headings in each document, before and after its own text; some rows can't be read.
+_TABLES = r"""doc_id, concat_ws('
+',
+  'Txn Date | Value Date | Narration | Chq No | Debit | Credit | Running Balance', '---|---|:---|---|---|---|---:',
+  concat('0', doc_id % 9 + 1, '/02/2024 | | Shop ', doc_id % 7, ' | #REF-', doc_id, ' | ', doc_id % 100, '.', doc_id % 90 + 10, ' | | ', doc_id, ',000.50'),
+  concat(CASE WHEN doc_id % 5 = 0 THEN 'soon' ELSE concat(doc_id % 28 + 1, '-Feb-24') END, ' | | ', CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ' | ', source, ' | | 1.', doc_id % 900 + 100, ',05 | ', CASE WHEN doc_id % 4 = 0 THEN '-' ELSE '7.25 CR' END),
+  text, '| Date | Note | Balance |', CASE WHEN doc_id % 6 = 0 THEN 'no dashes' ELSE '| -- | -- | -- |' END, concat('| Mar ', doc_id % 28 + 1, ', 2024 | ', lang, ' | ', doc_id % 50, ' |'), 'end') AS text"""
+
+
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", _TABLES.split(", ", 1)[1])
+    return tables.table_rows(tables.text_lines(documents))
+
+
+QUERIES["table_rows"] = table_rows
