@@ -14,38 +14,41 @@ COUNTERPARTY = r"(?:to|from|upi|imps|neft|rtgs)\s*[:-]?\s*([a-z0-9@_.-]+)"
 TYPES = ["gambling", "paydayLoan", "bouncedPayment", "circularTrading"]
 
 
-def circular(ledger: DataFrame, least: int = 5) -> DataFrame:
-    """The transfer rows of counterparties with at least ``least`` transfers in both directions: statement_id, row_idx, counterparty."""
+def _named(ledger: DataFrame) -> DataFrame:
+    """Ledger rows with _kind (their category) and _name, the counterparty of a transfer or null."""
     name = F.substring(F.regexp_extract(F.lower(F.coalesce("description", F.lit(""))), COUNTERPARTY, 1), 1, 24)
-    transfers = (
-        ledger.select("statement_id", "row_idx", category(F.col("description")).alias("category"), name.alias("counterparty"))
-        .where(F.col("category").isin("Transfer In", "Transfer Out") & (F.col("counterparty") != ""))
-    )
-    both = (
-        transfers.groupBy("statement_id", "counterparty")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("category") == "Transfer In").alias("n_in"))
-        .where((F.col("n") >= least) & (F.col("n_in") > 0) & (F.col("n_in") < F.col("n")))
-        .select("statement_id", "counterparty")
+    rows = ledger.withColumn("_kind", category(F.col("description")))
+    return rows.withColumn("_name", F.when(F.col("_kind").isin("Transfer In", "Transfer Out"), F.nullif(name, F.lit(""))))
+
+
+def _both_ways(named: DataFrame, least: int) -> DataFrame:
+    """Counterparties with transfers in both directions, ``least`` of them at least: n_in, n_out, total_amount."""
+    amount = F.abs(F.when(F.coalesce("debit", F.lit(0)) != 0, F.col("debit")).otherwise(F.coalesce("credit", F.lit(0))))
+    found = named.groupBy("statement_id", "_name").agg(
+        F.count_if(F.col("_kind") == "Transfer In").alias("n_in"), F.count_if(F.col("_kind") == "Transfer Out").alias("n_out"), F.sum(amount).alias("total_amount"), F.max("_name").alias("_some")
     )
-    return transfers.join(both, ["statement_id", "counterparty"]).select("statement_id", "row_idx", "counterparty")
+    # rows without a counterparty leave here: a condition on the key would be pushed down, and its patterns matched twice
+    return found.where((F.col("n_in") + F.col("n_out") >= least) & (F.col("n_in") > 0) & (F.col("n_out") > 0) & F.col("_some").isNotNull()).drop("_some")
+
+
+def circular(ledger: DataFrame, least: int = 5) -> DataFrame:
+    """The transfer rows of counterparties with at least ``least`` transfers in both directions: statement_id, row_idx, counterparty."""
+    named = _named(ledger)
+    return named.join(_both_ways(named, least).select("statement_id", "_name"), ["statement_id", "_name"]).select("statement_id", "row_idx", F.col("_name").alias("counterparty"))
 
 
 def circular_groups(ledger: DataFrame) -> DataFrame:
     """Per circular counterparty of a statement: n_in, n_out, and the sum of the amounts (debit, or credit where it is zero)."""
-    amount = F.abs(F.when(F.coalesce("debit", F.lit(0)) != 0, F.col("debit")).otherwise(F.coalesce("credit", F.lit(0))))
-    rows = ledger.select("statement_id", "row_idx", category(F.col("description")).alias("category"), amount.alias("amount"))
-    return (
-        circular(ledger)
-        .join(rows, ["statement_id", "row_idx"])
-        .groupBy("statement_id", "counterparty")
-        .agg(F.count_if(F.col("category") == "Transfer In").alias("n_in"), F.count_if(F.col("category") == "Transfer Out").alias("n_out"), F.sum("amount").alias("total_amount"))
-    )
+    return _both_ways(_named(ledger), 5).select("statement_id", F.col("_name").alias("counterparty"), "n_in", "n_out", "total_amount")
+
 
+def flag_circular(ledger: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Ledger rows with is_circular: whether circular() has the row.
 
-def flag_circular(ledger: DataFrame) -> DataFrame:
-    """Ledger rows with is_circular: whether circular() has the row."""
-    found = circular(ledger).select("statement_id", "row_idx", F.lit(True).alias("is_circular"))
-    return ledger.join(found, ["statement_id", "row_idx"], "left").fillna(False, ["is_circular"])
+    Counterparties are counted over source, the same rows before other operators worked on them, so that these aren't run twice.
+    """
+    loops = _both_ways(_named(ledger if source is None else source), 5).select("statement_id", "_name", F.lit(True).alias("is_circular"))
+    return _named(ledger).join(loops, ["statement_id", "_name"], "left").drop("_kind", "_name").fillna(False, ["is_circular"])
 
 
 def findings(ledger: DataFrame, least: int = 5) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.money import clamp, half_up
 from ledgerlark.functions.rules import category
+from ledgerlark.sources.shared import written
 
 from .cleaning import narration_key
 from .statistics import CASH, low_balance_frequency
@@ -106,18 +107,20 @@ def _points(*tests: tuple[int, Column]) -> Column:
     return total
 
 
-def _rows(ledger: DataFrame, corrections: Sequence[tuple[str, str]]) -> DataFrame:
-    """The columns that the analysis needs, once per row."""
+def prepared(ledger: DataFrame, corrections: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """The columns that the analysis needs, computed once for each row and written; all operators here also take these for a ledger."""
+    if "by_words" in ledger.columns:
+        return ledger
     known = category(F.col("description"), F.col("category") if "category" in ledger.columns else None)
     text = F.lower(F.coalesce("description", F.lit("")))
     label = F.lower(F.trim(corrected_category(F.col("description"), known, corrections)))
     amount = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     rows = ledger.select(
-        "statement_id", "row_idx", "date", "description", amount("debit").alias("debit"), amount("credit").alias("credit"), text.alias("text"),
+        "statement_id", "row_idx", "date", amount("debit").alias("debit"), amount("credit").alias("credit"), "balance", text.alias("text"),
         label.alias("label"), month_key(F.col("date")).alias("month"), narration_key(F.col("description")).alias("key"),
     )
     cash_words = _has(F.col("text"), CASH)
-    return rows.withColumns({"by_words": cash_words, "cash_only": ~cash_words & (F.col("label") == "cash")})
+    return written(rows.withColumns({"by_words": cash_words, "cash_only": ~cash_words & (F.col("label") == "cash")}), "underwriting")
 
 
 def salary_floor(rows: DataFrame) -> DataFrame:
@@ -129,7 +132,7 @@ def salary_floor(rows: DataFrame) -> DataFrame:
 
 def candidates(ledger: DataFrame, corrections: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Rows that may be a salary or an instalment, with what their words say; a row with both amounts may be both."""
-    rows = _rows(ledger, corrections)
+    rows = prepared(ledger, corrections)
     rows = rows.join(salary_floor(rows), "statement_id", "left").withColumn("floor", F.coalesce("floor", F.lit(FLOOR_USUAL).cast("long")))
     text, label, none = F.col("text"), F.col("label"), F.lit(False)
 
@@ -168,7 +171,7 @@ def _deviation(n: str, total: str, squares: str) -> Column:
 
 def recurring(ledger: DataFrame, corrections: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """The candidates accepted as salary or instalment, with score and (instalments) loan type."""
-    found = candidates(ledger, corrections)
+    found = written(candidates(ledger, corrections), "candidates")
     c = F.col
     scored = found.join(buckets(found), ["statement_id", "side", "key"])
     plain = ~c("words") & ~c("labelled")
@@ -218,7 +221,7 @@ def monthly_income(ledger: DataFrame, accepted: DataFrame) -> DataFrame:
 def _cash(ledger: DataFrame, accepted: DataFrame, corrections: Sequence[tuple[str, str]]) -> DataFrame:
     """Per statement: share of its debits that are cash by words or by category, where accepted rows have left their category."""
     debit = F.greatest(F.col("debit"), F.lit(0))
-    rows = _rows(ledger, corrections).groupBy("statement_id").agg(F.sum(debit).alias("debits"), F.sum(F.when(F.col("by_words") | F.col("cash_only"), debit).otherwise(0)).alias("cash"))
+    rows = prepared(ledger, corrections).groupBy("statement_id").agg(F.sum(debit).alias("debits"), F.sum(F.when(F.col("by_words") | F.col("cash_only"), debit).otherwise(0)).alias("cash"))
     moved = accepted.where("cash_only AND debit > 0").dropDuplicates(["statement_id", "row_idx"]).groupBy("statement_id").agg(F.sum("debit").alias("moved"))
     share = (F.col("cash") - F.coalesce("moved", F.lit(0))) / F.col("debits")
     return rows.join(moved, "statement_id", "left").select("statement_id", F.when(F.col("debits") > 0, share).otherwise(0.0).alias("cash_share"))
@@ -324,7 +327,8 @@ def eligibility(ratios: DataFrame) -> DataFrame:
 
 def underwrite(ledger: DataFrame, corrections: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """The whole analysis, one row per statement."""
-    accepted = recurring(ledger, corrections)
+    ledger = prepared(ledger, corrections)
+    accepted = written(recurring(ledger, corrections), "accepted")
     profile = stability(monthly_income(ledger, accepted))
     low = low_balance_frequency(ledger).select("statement_id", "low_share")
     profile = profile.join(low, "statement_id", "left").withColumn("low_share", F.coalesce("low_share", F.lit(0.0)))

@@ -122,7 +122,7 @@ add(
 
 def _scored(df: DataFrame) -> DataFrame:
     """Circular rows are flagged last, whatever keywords they have."""
-    marked = alerts.flag_circular(analytics.duplicates(balance.reconcile(df)))
+    marked = alerts.flag_circular(analytics.duplicates(balance.reconcile(df)), df)
     marked = marked.withColumn("risk_flag", F.when(F.col("is_circular"), "circularTrading").otherwise(F.try_element_at(risk_types(F.col("description")), F.lit(-1))))
     return analytics.confidence(marked)
 
