@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.dates import let, scanned_date, tidy, trimmed
 from ledgerlark.functions.money import half_up
+from ledgerlark.functions.references import reference_token
 
 from .adjacent import BLOCK, following, renumber
 from .folds import BLOCK as FOLD_BLOCK
@@ -55,11 +56,6 @@ def money_or_none(text: Column) -> Column:
     return let(F.abs(money(text)), lambda direct: F.when(F.coalesce(text, F.lit("")) != "", F.when(direct > 0, direct).otherwise(inside)))
 
 
-def reference_token(text: Column) -> Column:
-    """A reference without the marks around it."""
-    return F.regexp_replace(F.regexp_replace(tidy(F.coalesce(text, F.lit(""))), r"^[\s#:/.-]+", ""), r"[\s#:/.-]+$", "")
-
-
 def cells_of(line: Column) -> Column:
     """The trimmed cells of a line between bars (none without a bar); an empty one at either end is no cell."""
     clean = trimmed(line)

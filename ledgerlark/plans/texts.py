@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlark.operators import lines, tables
+from ledgerlark.functions.references import best_reference
+from ledgerlark.operators import layout, lines, tables
 from ledgerlark.sources.ledger import ledger
 
 from .queries import QUERIES
@@ -46,3 +48,28 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["table_rows"] = table_rows
+
+
+#: Tokens of sixty rows a page; every third statement has headings, the others show their columns by their amounts.
+_PLACES = """SELECT statement_id, CAST(row_idx div 60 + 1 AS INT) AS page, x + row_idx % 3 AS x, 800 - 12 * (row_idx % 60) - x / 400 AS y, text FROM (
+  SELECT statement_id, row_idx, inline(array(named_struct('x', 60.0D, 'text', date), named_struct('x', 120.0D, 'text', description), named_struct('x', 250.0D, 'text', ref_number),
+    named_struct('x', CASE WHEN debit > 0 THEN 335.0D ELSE 415.0D END, 'text', CASE WHEN debit > 0 THEN {_D} ELSE {_C} END), named_struct('x', 501.0D, 'text', {_B}),
+    named_struct('x', 335.0D, 'text', CASE WHEN row_idx % 60 = 0 AND statement_id % 3 = 0 THEN 'Debit' END), named_struct('x', 415.0D, 'text', CASE WHEN row_idx % 60 = 0 AND statement_id % 3 = 0 THEN 'Credit' END),
+    named_struct('x', 501.0D, 'text', CASE WHEN row_idx % 60 = 0 AND statement_id % 3 = 0 THEN 'Balance' END))) FROM {ledger})""".replace("{_D}", _D).replace("{_C}", _C).replace("{_B}", _B)
+
+
+def column_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = layout.group_lines(spark.sql(_PLACES, ledger=ledger(spark, sf_dir, "orders")))
+    return layout.anchored_amounts(placed, layout.detect_layout(placed))
+
+
+def best_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References hidden in the ledger's reference fields in several ways."""
+    field = F.expr(
+        "CASE row_idx % 6 WHEN 0 THEN concat('UTR: ', ref_number, '00', row_idx) WHEN 1 THEN concat(description, ' AE', 100000 + row_idx) WHEN 2 THEN concat('#', ref_number, '-ABCDEFGH-', row_idx % 90 + 10) "
+        "WHEN 3 THEN description WHEN 4 THEN '05/06/2024' ELSE concat('paid ', 1000000000 + row_idx, ' FCF12AB', row_idx) END"
+    )
+    return ledger(spark, sf_dir, "orders").select("statement_id", "row_idx", best_reference(field, F.col("description")).alias("reference"))
+
+
+QUERIES |= {"column_amounts": column_amounts, "best_references": best_references}
