@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.money import to_minor
 from ledgerlark.operators import cleaning, statistics
+from ledgerlark.operators.corrections import correct_categories
 
-from .queries import _CATEGORY, add
+from .queries import _CATEGORY, ORACLE_SQL, QUERIES, add
 
 _SIGNED = "CASE WHEN row_idx % 5 IN (0, 2) THEN -debit ELSE debit END AS debit, CASE WHEN row_idx % 7 IN (1, 3) THEN -credit ELSE credit END AS credit"
 _NOISY = "concat('  ', description, CASE WHEN row_idx % 3 = 0 THEN '  oww' ELSE ' XOWW' END, CASE WHEN row_idx % 4 = 0 THEN ' HIJTON MARRIOITT ' ELSE '' END) AS description"
@@ -102,3 +104,22 @@ add(
        FROM (SELECT statement_id, date::DATE - lag(date::DATE) OVER (PARTITION BY statement_id ORDER BY row_idx) AS s FROM ledger) GROUP BY statement_id""",
     kind="orders",
 )
+QUERIES["minor_units"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", to_minor(F.col("o_totalprice") / 7).alias("minor"))
+ORACLE_SQL["minor_units"] = "SELECT o_orderkey, CAST(floor((o_totalprice / 7 + 2.220446049250313e-16::DOUBLE) * 100 + 0.5) AS BIGINT) AS minor FROM orders"
+#: Corrections that users' rows suggest: parts of narrations of every length, and whole ones.
+_CORRECTIONS = """SELECT DISTINCT lower(CASE WHEN row_idx % 4 = 0 THEN description ELSE substr(description, CAST(row_idx % 7 + 1 AS INT), CAST(row_idx % 6 AS INT)) END) AS pattern,
+  concat('Corrected ', row_idx % 9) AS category, row_idx % 50 AS priority FROM {0} WHERE statement_id % 40 = 3"""
+
+
+def _corrected(df):
+    known = df.sparkSession.sql(_CORRECTIONS.format("{ledger}"), ledger=df)
+    return correct_categories(df.select("statement_id", "row_idx", "description", F.lit("Known").alias("category")), known).select("statement_id", "row_idx", "corrected_category")
+
+
+add(
+    "corrected_categories",
+    _corrected,
+    f"""SELECT l.statement_id, l.row_idx, coalesce(label, 'Known') AS corrected_category FROM ledger l LEFT JOIN (
+      SELECT t, arg_min(category, ROW(NOT pattern = t, priority, pattern, category)) AS label FROM (SELECT DISTINCT lower(description) AS t FROM ledger) JOIN ({_CORRECTIONS.format("ledger")}) ON pattern <> '' AND contains(t, pattern) GROUP BY t)
+    ON t = lower(description)""",
+)

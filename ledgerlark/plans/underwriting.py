@@ -148,3 +148,17 @@ add(
     kind="orders",
     views=VIEWS,
 )
+
+_PLANS = ["unlimited", " PER_PAGE_STANDARD ", "per_page_lite", "free", "per_page_power"]
+_PLAN = "CASE statement_id % 6 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PLANS)) + " END"
+_SHOWN = ["statement_id", "avg_income", "ratio", "cap", "disposable", "headroom", "yearly_rate", "loan_months"]
+add(
+    "tiered_results",
+    lambda df: uw.masked(uw.underwrite(df), uw.plan_tier(F.expr(_PLAN))).select(*_SHOWN, "tier", F.size("factors").alias("n_factors")),
+    f"""SELECT {', '.join(_SHOWN[:3])}, {', '.join(f"CASE WHEN tier = 'advanced' THEN {c} END AS {c}" for c in _SHOWN[3:])}, tier,
+        CAST(CASE WHEN tier = 'basic' THEN 0 ELSE 4 + CASE WHEN no_stream THEN 1 ELSE 0 END + CASE WHEN cash_share >= 0.2 THEN 1 ELSE 0 END + CASE WHEN max_new_instalment <= 0 THEN 1 ELSE 0 END END AS INTEGER) AS n_factors
+        FROM (SELECT *, CASE lower(trim(coalesce({_PLAN}, ''))) WHEN 'unlimited' THEN 'advanced' WHEN 'per_page_power' THEN 'advanced' WHEN 'per_page_standard' THEN 'pro' WHEN 'per_page_lite' THEN 'basic' ELSE 'none' END AS tier FROM steps)
+        WHERE tier <> 'none'""",
+    kind="orders",
+    views=VIEWS,
+)
