@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.amounts import amount, is_amount, side_of
 from ledgerlark.functions.dates import tidy
+from ledgerlark.sources.shared import plain_unions
 
 # How far tokens of a line lie apart in y, columns in x, and an amount from its column; the headings of columns.
 LINE_GAP, COLUMN_GAP, REACH = 2.5, 24.0, 70.0
@@ -65,6 +66,7 @@ def detect_layout(lines: DataFrame) -> DataFrame:
     Amounts are clustered from left to right: one more than COLUMN_GAP beyond the running mean of the cluster begins the next. Of
     three clusters or more, the last three are debit, credit and balance.
     """
+    plain_unions(lines.sparkSession)
     place = lambda pattern: F.get(F.filter("tokens", lambda t: F.lower(t["text"]).rlike(pattern)), 0)["x"]
     labels = lines.select("statement_id", F.struct("page", "line").alias("at"), place(DEBIT_HEADING).alias("debit_center"), place(CREDIT_HEADING).alias("credit_center"), place(BALANCE_HEADING).alias("balance_center"))
     headed = labels.where("debit_center is not null and credit_center is not null and balance_center is not null")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.dates import scanned_date
+from ledgerlark.sources.shared import plain_unions
 
 from .adjacent import BLOCK, renumber
 
@@ -179,6 +180,7 @@ def match_rows(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     balances, rows are dealt by statement, islands of balances and date; an island with a row without a date isn't split by
     dates. A task holds the free secondary rows of one such group.
     """
+    plain_unions(primary.sparkSession)
     side = lambda df, n: df.select("statement_id", "row_idx", F.coalesce(scanned_date(F.col("date")), F.trim(_text("date"))).alias("_day"), _zero("balance").alias("_b"), F.lit(n).alias("_side"))
     rows = _islands(side(secondary, 0).unionByName(side(primary, 1)))
     undated = rows.where("_day = ''").select("statement_id", "island").distinct().withColumn("_mixed", F.lit(True))

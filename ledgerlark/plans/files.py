@@ -6,10 +6,10 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import statement_files
+from ledgerlark.operators import export_checks, statement_files
 
 from .dates import _PARTS, RAW
-from .repairs import add_spoilt
+from .repairs import _EXPORT, ROUNDED, add_spoilt
 
 _TODAY = datetime.date(2024, 1, 31)
 #: Raw dates in statement order, long and empty narrations, amounts of both sides.
@@ -56,3 +56,32 @@ add_spoilt(
          '<ISDEEMEDPOSITIVE>' || CASE WHEN credit > 0 THEN 'Yes' ELSE 'No' END || '</ISDEEMEDPOSITIVE>', '<AMOUNT>' || CASE WHEN credit > 0 THEN '-' ELSE '' END || printf('%.2f', size / 100.0::DOUBLE) || '</AMOUNT>') AS voucher
        FROM (SELECT *, {_DIGITS} AS own, first_value({_DIGITS}) OVER (PARTITION BY statement_id ORDER BY row_idx) AS first, CASE WHEN coalesce(debit, 0) <> 0 THEN debit ELSE credit END AS size FROM ledger) WHERE size <> 0""",
 )
+_UNCHECKED = [*RAW, "CASE WHEN row_idx % 37 = 4 THEN NULL WHEN row_idx % 14 = 5 THEN -debit ELSE debit END AS debit", ROUNDED[3], ROUNDED[4]]
+_PREPARED = """prep AS (SELECT l.statement_id, l.row_idx, coalesce(iso, 'UNKNOWN') AS date, abs(coalesce(debit, 0)) AS debit, abs(coalesce(credit, 0)) AS credit, coalesce(balance, 0) AS balance, list_filter([
+    CASE WHEN iso IS NULL THEN 'invalid_date' END, CASE WHEN debit IS NULL THEN 'invalid_debit' END, CASE WHEN credit IS NULL THEN 'invalid_credit' END, CASE WHEN balance IS NULL THEN 'invalid_balance' END,
+    CASE WHEN debit < 0 OR credit < 0 THEN 'negative_amount_normalized' END], lambda x : x IS NOT NULL) AS found FROM ledger l LEFT JOIN days d ON d.statement_id = l.statement_id AND d.row_idx = l.row_idx)"""
+_CHECKED = """checked AS (SELECT p.statement_id, p.row_idx, date, debit, credit, repaired_balance AS balance, list_concat(found, CASE WHEN issue IS NULL THEN [] ELSE [issue] END) AS issues
+  FROM prep p JOIN issues i ON i.statement_id = p.statement_id AND i.row_idx = p.row_idx)"""
+_CHECKS = (_PARTS, _PREPARED, _EXPORT.replace("FROM ledger", "FROM prep").replace("JOIN ledger", "JOIN prep"), _CHECKED)
+_TRUST = "statement_id, CASE statement_id % 4 WHEN 0 THEN 0.9D WHEN 1 THEN 0.5D WHEN 2 THEN 1.7D END AS confidence, CASE statement_id % 3 WHEN 0 THEN array('Tampered_Document', 'x') WHEN 1 THEN array('y') END AS fraud_flags"
+add_spoilt(
+    "export_checked_rows",
+    _UNCHECKED,
+    lambda df: export_checks.checked_rows(df).select("statement_id", "row_idx", "date", "debit", "credit", "balance", F.array_join("issues", ",").alias("issues")),
+    "SELECT statement_id, row_idx, date, debit, credit, balance, array_to_string(issues, ',') AS issues FROM checked",
+    views=_CHECKS,
+)
+add_spoilt(
+    "export_report",
+    _UNCHECKED,
+    lambda df: export_checks.export_report(export_checks.checked_rows(df), df.select("statement_id").distinct().where("statement_id % 9 <> 8").selectExpr(*_TRUST.replace(", CASE", "|CASE").split("|"))).withColumn("warnings", F.array_join("warnings", " ")),
+    """SELECT statement_id, n_rows, flagged_rows, major_issues, minor_issues, fraud_risk, export_confidence, export_confidence > 0.35 AS is_trusted, concat_ws(' ', CASE WHEN major_issues > 0 THEN printf('Detected %d major validation issue(s).', major_issues) END,
+         CASE WHEN minor_issues > 0 THEN printf('Applied %d minor validation fix(es).', minor_issues) END, CASE WHEN n > 0 THEN printf('Fraud flags detected (%d).', n) END) AS warnings
+       FROM (SELECT *, CASE WHEN confidence IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, floor((confidence - CASE WHEN minor_issues > 0 THEN 0.08::DOUBLE ELSE 0 END - CASE WHEN major_issues > 0 THEN least(0.35::DOUBLE, 0.1::DOUBLE + major_issues * 0.05::DOUBLE) ELSE 0 END
+           - CASE WHEN n > 0 THEN 0.05::DOUBLE ELSE 0 END - CASE WHEN n = 2 THEN 0.1::DOUBLE ELSE 0 END) * 100 + 0.5) / 100)) END AS export_confidence, CASE n WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS fraud_risk
+         FROM (SELECT *, CASE WHEN statement_id % 9 = 8 THEN NULL ELSE CASE statement_id % 4 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 1.0::DOUBLE END END AS confidence,
+             CASE WHEN statement_id % 9 = 8 THEN 0 ELSE CASE statement_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END END AS n
+           FROM (SELECT statement_id, count(*) AS n_rows, count(*) FILTER (len(issues) > 0) AS flagged_rows, CAST(sum(len(issues) - len(list_filter(issues, lambda x : x IN ('negative_amount_normalized', 'balance_minor_rounding_fix')))) AS BIGINT) AS major_issues,
+               CAST(sum(len(list_filter(issues, lambda x : x IN ('negative_amount_normalized', 'balance_minor_rounding_fix')))) AS BIGINT) AS minor_issues FROM checked GROUP BY statement_id)))""",
+    views=_CHECKS,
+)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import plain_unions
+
 # Fixed values of the synthetic narrations, by id.
 NARRATIONS = [
     "NEFT CR SALARY ACME LTD", "UPI DR paid to alice@bank", "UPI CR received from alice@bank", "ELECTRICITY BILL", "AMAZON RETAIL",
@@ -44,6 +46,5 @@ def ledger_sql(kind: str, text: str = "string") -> str:
 
 
 def ledger(spark: SparkSession, sf_dir: str, kind: str = "events") -> DataFrame:
-    # Spark 4.1 may take the partitioning of a union for granted and lose rows in a join after it (61 of 67 were left in a test)
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    plain_unions(spark)
     return spark.sql(ledger_sql(kind).replace(f"FROM {kind}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{kind}.parquet"))

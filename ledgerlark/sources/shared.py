@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Spark 4.1 may take the partitioning of a union for granted and lose rows in a join after it; this session setting keeps it from that."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. A local session may lack it: it gets a new temporary folder, removed at exit."""
     conf = spark.sparkContext.getConf()
