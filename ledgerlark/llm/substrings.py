@@ -65,15 +65,14 @@ def _distinct(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return found, counts > 1
 
 
-def _cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins and the last ends."""
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], dtype=np.uint64)
-    return np.append(np.searchsorted(sorted_hashes, edges), len(sorted_hashes))
+def _places(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash, by its high 32 bits: ascending with the hashes."""
+    return ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _send(group: int, hashes: np.ndarray, twice: np.ndarray, more: np.ndarray | None, buckets: int) -> pa.Table:
-    cuts = _cuts(hashes, buckets)
-    spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+    own, starts = np.unique(_places(hashes, buckets), return_index=True)  # only the buckets that these hashes fall into
+    spans = list(zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), len(hashes)]))
     return pa.table(
         [
             pa.array([k for k, _, _ in spans], pa.int32()),
@@ -109,9 +108,9 @@ def _mark(table: pa.Table) -> pa.Table:
 
 def _answered(hashes: np.ndarray, answer: pa.Table, buckets: int) -> np.ndarray:
     """The hashes (sorted, as they were sent) that were marked."""
-    cuts, on = _cuts(hashes, buckets), np.zeros(len(hashes), dtype=bool)
-    for bucket, bits in zip(answer["_bucket"].to_pylist(), answer["bits"].to_pylist()):
-        a, b = cuts[bucket], cuts[bucket + 1]
+    places, on = _places(hashes, buckets), np.zeros(len(hashes), dtype=bool)
+    asked = np.array(answer["_bucket"].to_pylist(), dtype=np.uint64)
+    for a, b, bits in zip(np.searchsorted(places, asked, "left"), np.searchsorted(places, asked, "right"), answer["bits"].to_pylist()):
         on[a:b] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a) == 1
     return hashes[on]
 
