@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.references import best_reference
-from ledgerlark.operators import layout, lines, tables
+from ledgerlark.operators import layout, lines, scanned, tables
 from ledgerlark.sources.ledger import ledger
 
 from .queries import QUERIES
@@ -73,3 +73,18 @@ def best_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"column_amounts": column_amounts, "best_references": best_references}
+
+#: The ledger as scans read it: dates in three forms, misread digits, amounts on both sides or beside a type, missing balances.
+_SCANS = [
+    "statement_id", "row_idx", "CASE row_idx % 3 WHEN 0 THEN date WHEN 1 THEN date_format(cast(date AS date), 'dd/MM/yy') ELSE date_format(cast(date AS date), 'dd-MMM-yy') END AS date",
+    "CASE WHEN row_idx % 17 = 5 THEN 'Page 4 of 9' ELSE description END AS description", "concat('Ref: ', ref_number, row_idx) AS ref_number", f"CASE WHEN row_idx % 7 = 2 THEN NULL ELSE translate({_D}, CASE WHEN row_idx % 5 = 1 THEN '0' ELSE '' END, 'O') END AS debit",
+    f"CASE WHEN row_idx % 7 = 2 THEN NULL WHEN row_idx % 11 = 3 THEN {_D} ELSE {_C} END AS credit", f"CASE WHEN row_idx % 23 = 4 THEN 'n/a' ELSE concat({_B}, CASE WHEN balance < 0 THEN '-' ELSE '' END) END AS balance",
+    f"CASE WHEN row_idx % 7 = 2 THEN CASE WHEN debit > 0 THEN {_D} ELSE {_C} END END AS amount", "CASE WHEN row_idx % 7 = 2 THEN CASE WHEN debit > 0 THEN 'DR' ELSE 'Credit' END END AS type",
+]
+
+
+def scanned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.scanned_rows(ledger(spark, sf_dir, "orders").selectExpr(*_SCANS))
+
+
+QUERIES |= {"scanned_rows": scanned_rows, "scan_summary": lambda spark, sf_dir: scanned.scan_summary(scanned_rows(spark, sf_dir)).withColumn("issues", F.array_join("issues", ","))}
