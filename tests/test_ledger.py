@@ -16,7 +16,7 @@ SCHEMA = "statement_id long, row_idx long, date string, description string, ref_
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("events", "orders"):
+    for name in ("customer", "events", "orders"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     return con
 
