@@ -6,8 +6,12 @@ row after where a statement lists its newest row first. All money is in minor un
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ledgerlark.functions.dates import ledger_day, let, statement_day
 from ledgerlark.functions.money import half_up
@@ -207,6 +211,7 @@ def harmonize(ledger: DataFrame, ways: DataFrame | None = None) -> DataFrame:
 
 # What a digit repair may leave over (minor units, or a share of the target), and what a validated row may.
 REPAIR_UNITS, REPAIR_SHARE, ROW_TOLERANCE = 200, 0.05, 100
+MOST = 2**63 - 1
 
 
 def repaired_amount(observed: Column, target: Column) -> Column:
@@ -216,19 +221,36 @@ def repaired_amount(observed: Column, target: Column) -> Column:
     ascending. If even that leaves over two units of money and 5 % of the target, the observed amount stays, as it does without
     a target. Null and non-positive amounts stay.
     """
-    digits = F.lpad(observed.cast("string"), F.greatest(F.length(observed.cast("string")), F.lit(3)), "0")
-    scaled = [observed * k for k in (10, 100, 1000)] + [_rounded(observed / k) for k in (10, 100, 1000)]
-    places = F.sequence(F.lit(1), F.length(digits))
-
-    def edits(i: Column) -> Column:
-        here = F.substring(digits, i, F.lit(1)).cast("int")
-        worth = F.power(F.lit(10), F.length(digits) - i).cast("long")
-        return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: observed + (d - here) * worth)
-
-    candidates = F.filter(F.concat(F.array(*[s.cast("long") for s in scaled]), F.flatten(F.transform(places, edits))), lambda x: x > 0)
-    ranked = F.transform(F.concat(F.array(observed.cast("long")), candidates), lambda x, i: F.struct(F.abs(x - target).alias("off"), i.alias("i"), x.alias("x")))
-    best = let(F.array_min(ranked), lambda b: F.when(b["off"] <= F.greatest(F.lit(float(REPAIR_UNITS)), target * REPAIR_SHARE), b["x"]).otherwise(observed.cast("long")))
-    return F.when((observed > 0) & (target > 0), best).otherwise(observed.cast("long"))
+    return _nearest_amount(observed.cast("long"), target.cast("long"))
+
+
+@F.arrow_udf(LongType())
+def _nearest_amount(observed: pa.Array, target: pa.Array) -> pa.Array:
+    known = pc.fill_null(pc.and_(pc.greater(observed, 0), pc.greater(target, 0)), False)
+    at = np.flatnonzero(known.to_numpy(zero_copy_only=False))
+    x, goal = (pc.fill_null(a, 0).to_numpy(zero_copy_only=False)[at] for a in (observed, target))
+    best, off = x.copy(), np.abs(x - goal)
+
+    def offer(y: np.ndarray, fits: np.ndarray) -> None:
+        less = fits & (y > 0) & (np.abs(y - goal) < off)
+        best[less], off[less] = y[less], np.abs(y - goal)[less]
+
+    for k in (10, 100, 1000):
+        offer(x * k, x <= MOST // k)
+    for k in (10, 100, 1000):
+        offer(np.floor(x / k + 0.5).astype(np.int64), np.ones(len(x), dtype=bool))
+    for place in reversed(range(max(3, len(str(x.max()))) if len(x) else 0)):
+        worth = 10**place
+        inside, here = (x >= worth) | (place < 3), x // worth % 10
+        # of the ten digits only those next to the target can be nearest, the lower one first
+        digit = here + (goal - x) // worth
+        for d in (digit, digit + 1):
+            more = (np.clip(d, 0, 9) - here) * worth
+            offer(x + more, inside & (more <= MOST - x))
+    good = off <= np.maximum(float(REPAIR_UNITS), goal * REPAIR_SHARE)
+    out = pc.fill_null(observed, 0).to_numpy(zero_copy_only=False).copy()
+    out[at[good]] = best[good]
+    return pc.if_else(pc.is_null(observed), pa.scalar(None, pa.int64()), pa.array(out))
 
 
 def supported_amount(debit: Column, credit: Column, moved: Column, side: Column) -> Column:
@@ -236,14 +258,10 @@ def supported_amount(debit: Column, credit: Column, moved: Column, side: Column)
 
     Of two amounts the nearer counts, and one as near (within a unit) if it stands on the preferred side.
     """
-    fixed = F.struct(repaired_amount(debit, moved).alias("d"), repaired_amount(credit, moved).alias("c"))
-
-    def choose(x: Column) -> Column:
-        off_d, off_c = F.abs(x["d"] - moved), F.abs(x["c"] - moved)
-        second = (off_c < off_d) | ((F.abs(off_c - off_d) <= 1) & (side == "credit"))
-        return F.when((debit > 0) & (credit > 0), F.when(second, x["c"]).otherwise(x["d"])).when(debit > 0, x["d"]).when(credit > 0, x["c"]).otherwise(0)
-
-    return let(fixed, choose)
+    d, c = repaired_amount(debit, moved), repaired_amount(credit, moved)
+    off_d, off_c = F.abs(d - moved), F.abs(c - moved)
+    second = (off_c < off_d) | ((F.abs(off_c - off_d) <= 1) & (side == "credit"))
+    return F.when((debit > 0) & (credit > 0), F.when(second, c).otherwise(d)).when(debit > 0, d).when(credit > 0, c).otherwise(0)
 
 
 def _onto_side(rows: DataFrame, amount: Column, credit: Column, when: Column) -> DataFrame:

@@ -187,3 +187,23 @@ def test_repairs_of_nothing(spark):
     one = rows(spark, (None, None, None), date=None, text=None)
     for run in (folds.correct_drift, folds.repair_export, repair.correct_sides, repair.harmonize, repair.lock_columns, repair.validate_rows, repair.settle_sides):
         assert run(one).count() == 1
+
+
+def test_repaired_amounts_of_any_size_without_lists_of_candidates(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(10**16 + 12345, 10**16 + 62345), (9 * 10**18, 2**63 - 1), (2**63 - 1, 1), (100, 1), (None, 5), (5, None), (-5, 7), (20, 25), (1999, 2000), (500, 1)]
+    pairs += [(int(rng.integers(1, 10 ** int(rng.integers(1, 19)))), int(rng.integers(1, 10 ** int(rng.integers(1, 19))))) for _ in range(500)]
+    pairs += [(t + int(rng.integers(-9, 10)) * 10 ** int(rng.integers(0, 6)), t) for t in rng.integers(1, 10**6, 500).tolist()]
+    df = spark.createDataFrame(pairs, "x long, t long").select("x", "t", repair.repaired_amount(F.col("x"), F.col("t")).alias("y"))
+
+    def plain(x, t):  # all candidates, as a long can hold them
+        if x is None or t is None or x <= 0 or t <= 0:
+            return x
+        text = str(x).rjust(3, "0")
+        edits = [int(text[:i] + str(d) + text[i + 1 :]) for i in range(len(text)) for d in range(10)]
+        every = [x] + [y for y in [x * 10, x * 100, x * 1000, *[int(x / k + 0.5) for k in (10, 100, 1000)], *edits] if 0 < y < 2**63]
+        best = min(every, key=lambda y: abs(y - t))
+        return best if abs(best - t) <= max(200.0, t * 0.05) else x
+
+    assert all(r["y"] == plain(r["x"], r["t"]) for r in df.collect())
+    assert "sequence(" not in df._jdf.queryExecution().toString()
