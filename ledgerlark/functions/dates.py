@@ -153,9 +153,11 @@ def scanned_date(text: Column, default_year: Column | None = None) -> Column:
         token = F.when(r["name"].isNull(), r["year"]).when(r["year"].isNull() | (number(r["year"]) <= 31), F.coalesce(default, r["year"])).otherwise(r["year"])
         return F.concat(full(token), F.lit("-"), _pad(r["month"]), F.lit("-"), _pad(r["day"]))
 
-    clean = trimmed(text)
-    named = read(clean, [DMY, DAY_NAME_MARK_YEAR, DAY_NAME, NAME_DAY_YEAR, NAME_DAY], found)
-    return F.coalesce(F.when(clean.rlike(f"^{ISO[0]}$"), clean), named)
+    def either(clean: Column) -> Column:
+        named = read(clean, [DMY, DAY_NAME_MARK_YEAR, DAY_NAME, NAME_DAY_YEAR, NAME_DAY], found)
+        return F.coalesce(F.when(clean.rlike(f"^{ISO[0]}$"), clean), named)
+
+    return let(trimmed(text), either)
 
 
 def line_date(text: Column, names_checked: bool = False) -> Column:

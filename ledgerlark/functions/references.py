@@ -48,14 +48,16 @@ def best_reference(field: Column, description: Column) -> Column:
         every = F.filter(F.concat(*matched, whole), lambda x: F.length(x["value"]) >= LEAST_LENGTH)
 
         def scored(found: Column) -> Column:
-            values = F.transform(found, lambda x: x["value"])
+            return let(F.transform(found, lambda x: x["value"]), lambda values: highest(found, values))
+
+        def highest(found: Column, values: Column) -> Column:
             first = F.filter(F.transform(found, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: F.array_position(values, y["x"]["value"]) == y["i"] + 1)
             points = F.transform(first, lambda y: F.struct(_score(y["x"]["value"], y["x"]["weight"]).alias("score"), (-y["i"]).alias("before"), y["x"]["value"].alias("value")))
             return F.array_max(F.filter(points, lambda p: (p["score"] >= 0) & ~p["value"].rlike(DATE_OR_TIME)))["value"]
 
         told = F.lower(reference_token(description))
-        repeats = (told != "") & (F.length(raw) > REPEATS_TEXT) & (F.contains(F.lower(raw), told) | F.contains(told, F.lower(raw)))
-        narration = (F.size(F.split(raw, " ")) > MOST_WORDS) | (F.length(raw) > MOST_LENGTH) | repeats
+        same = let(F.struct(F.lower(raw).alias("raw"), told.alias("told")), lambda x: (x["told"] != "") & (F.contains(x["raw"], x["told"]) | F.contains(x["told"], x["raw"])))
+        narration = (F.size(F.split(raw, " ")) > MOST_WORDS) | (F.length(raw) > MOST_LENGTH) | ((F.length(raw) > REPEATS_TEXT) & same)
         return F.when((raw != "") & ~narration, let(every, scored))
 
     return let(reference_token(field), best)

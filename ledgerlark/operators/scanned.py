@@ -34,15 +34,19 @@ def strict_number(text: Column) -> Column:
     the decimal point and may occur once, so 1,234 is 1.23 and 1,234,567 is none.
     """
 
+    # each step by let: a name used twice would be computed twice, and what it is made of as often again
     def value(raw: Column) -> Column:
         front = F.when(~raw.startswith("-") & raw.endswith("-"), F.concat(F.lit("-"), F.substring(raw, F.lit(1), F.length(raw) - 1))).otherwise(raw)
-        fixed = F.when(front.rlike("[A-Za-z]") & front.rlike("[0-9]"), F.translate(front, *MISREAD)).otherwise(front)
-        kept = F.regexp_replace(fixed, "[^0-9,.-]", "")
-        plain = F.regexp_replace(kept, "^-", "")
+        return let(front, lambda x: let(F.when(x.rlike("[A-Za-z]") & x.rlike("[0-9]"), F.translate(x, *MISREAD)).otherwise(x), kept))
+
+    def kept(fixed: Column) -> Column:
+        return let(F.regexp_replace(fixed, "[^0-9,.-]", ""), lambda k: let(F.regexp_replace(k, "^-", ""), lambda plain: parsed(k, plain)))
+
+    def parsed(kept: Column, plain: Column) -> Column:
         known = plain.rlike("^(?:" + "|".join(NUMBER_FORMS) + ")$")
-        split = plain.rlike(r"^[0-9,]*\.[0-9]+$") | plain.rlike(r"^[0-9.]*,[0-9]+$") | plain.rlike("^[0-9]+$")
+        split = plain.rlike(r"^(?:[0-9,]*\.[0-9]+|[0-9.]*,[0-9]+|[0-9]+)$")
         number = F.regexp_replace(F.regexp_replace(plain, r"[.,](?=.*[.,])", ""), ",", ".").try_cast("double")
-        signed = F.when(kept.startswith("-"), -number).otherwise(number)
+        signed = number * F.when(kept.startswith("-"), -1).otherwise(1)
         return F.when(known & split, half_up(signed * 100).cast("long"))
 
     return let(trimmed(text), value)
@@ -63,7 +67,8 @@ def normalize_scanned(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         "statement_id", "row_idx", scanned_date(F.col("date")).alias("date"), F.when(readable, text).otherwise(UNREADABLE).alias("description"), F.col("ref_number").alias("_ref"),
         *[v.alias(c) for c, v in number.items()], strict_number(F.col("balance")).alias("balance"), F.nullif(F.trim("type"), F.lit("")).alias("type"), readable.alias("_readable"),
         kind.rlike(r"\b(cr|credit)\b").alias("_cr"), kind.rlike(r"\b(dr|debit)\b").alias("_dr"),
-    ).where("date is not null")
+    )
+    known = written(known, "scanned").where("date is not null")  # else Spark would run the patterns again in the filters, and for each count
     none, both, larger = (F.col("debit") <= 0) & (F.col("credit") <= 0), (F.col("debit") > 0) & (F.col("credit") > 0), F.greatest("debit", "credit")
     cr, dr = F.col("_cr"), ~F.col("_cr") & F.col("_dr")
     debit = F.when(none & dr, F.col("amount")).when(both & cr, 0).when(both & dr, larger).otherwise(F.col("debit"))
@@ -95,7 +100,7 @@ def scanned_rows(rows: DataFrame) -> DataFrame:
 
     What the patterns read and what the balances repair is written once each: later steps look at a row and its neighbours again.
     """
-    known = written(normalize_scanned(rows).withColumnRenamed("low_confidence", "_low"), "scanned")
+    known = written(normalize_scanned(rows).withColumnRenamed("low_confidence", "_low"), "numbered")
     checked = validate_rows(lock_columns(known)).withColumn("low_confidence", F.col("low_confidence") | F.col("_low")).drop("_low")
     return with_confidence(written(checked, "validated"))
 

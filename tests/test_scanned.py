@@ -66,3 +66,11 @@ def test_points_for_a_balance_that_does_not_follow(spark, balance, score):
     rows = [(1, 0, "a", 0, 50, 50, False), (1, 1, "b", 0, 50, balance, balance is None)]
     df = spark.createDataFrame(rows, "statement_id long, row_idx long, description string, debit long, credit long, balance long, low_confidence boolean")
     assert scanned.with_confidence(df).where("row_idx = 1").first()["confidence"] == score
+
+
+def test_patterns_of_a_number_are_not_repeated(spark):
+    plan = spark.range(1).select(scanned.strict_number(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 10 and plan.count("RLIKE") <= 8
+    rows = spark.createDataFrame([(1, 0, "01/02/2024", "shop", "REF AE12345", "5", "", "1000.00", None, None)], RAW)
+    plan = scanned.normalize_scanned(rows)._jdf.queryExecution().optimizedPlan().toString()  # parsed rows are read, not parsed again for each filter and count
+    assert scanned.MISREAD[0] not in plan
