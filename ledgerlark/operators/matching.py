@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.dates import scanned_date
-from ledgerlark.sources.shared import plain_unions
+from ledgerlark.sources.shared import plain_unions, written
 
 from .adjacent import BLOCK, renumber
 
@@ -182,7 +182,7 @@ def match_rows(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """
     plain_unions(primary.sparkSession)
     side = lambda df, n: df.select("statement_id", "row_idx", F.coalesce(scanned_date(F.col("date")), F.trim(_text("date"))).alias("_day"), _zero("balance").alias("_b"), F.lit(n).alias("_side"))
-    rows = _islands(side(secondary, 0).unionByName(side(primary, 1)))
+    rows = written(_islands(side(secondary, 0).unionByName(side(primary, 1))), "islands")
     undated = rows.where("_day = ''").select("statement_id", "island").distinct().withColumn("_mixed", F.lit(True))
     rows = rows.join(undated, ["statement_id", "island"], "left")
     rows = rows.withColumn("_group", F.when(F.col("_mixed"), "").otherwise(F.col("_day")))
@@ -230,8 +230,9 @@ def merge_extractions(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     Every choice depends on the one before, so a statement is streamed through one task, which remembers the last balance and
     those keys that occur more than once.
     """
+    primary, secondary = written(primary, "primary"), written(secondary, "secondary")  # each is read about ten times
     both = lambda a, b: a.join(b.select("statement_id").distinct(), "statement_id", "left_semi")
-    known = match_rows(both(primary, secondary), both(secondary, primary))
+    known = written(match_rows(both(primary, secondary), both(secondary, primary)), "matches")
     day = F.coalesce(scanned_date(F.col("date")), F.trim(_text("date")))
     key = F.concat_ws("|", F.col("statement_id"), day, _zero("debit"), _zero("credit"), _zero("balance"))
     shape = lambda df, n: df.select("statement_id", "row_idx", *_COLUMNS, key.alias("_key"), F.lit(n).alias("_side"))
