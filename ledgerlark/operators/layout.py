@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.amounts import amount, is_amount, side_of
 from ledgerlark.functions.dates import tidy
-from ledgerlark.sources.shared import plain_unions
+from ledgerlark.sources.shared import plain_unions, written
 
 # How far tokens of a line lie apart in y, columns in x, and an amount from its column; the headings of columns.
 LINE_GAP, COLUMN_GAP, REACH = 2.5, 24.0, 70.0
@@ -47,7 +47,8 @@ def group_lines(tokens: DataFrame) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.string(), _TOKENS))]
             yield pa.record_batch(columns, names=["statement_id", "page", "line", "text", "tokens"])
 
-    return known.repartition("statement_id", "page").sortWithinPartitions("statement_id", "page", F.desc("y"), "x", "text").mapInArrow(run, LINES)
+    dealt = known.repartition("statement_id", "page").sortWithinPartitions("statement_id", "page", F.desc("y"), "x", "text")
+    return written(dealt.mapInArrow(run, LINES), "lines")  # columns are found and amounts read from several passes over lines
 
 
 def _bare(text: str) -> str:
@@ -71,6 +72,7 @@ def detect_layout(lines: DataFrame) -> DataFrame:
     labels = lines.select("statement_id", F.struct("page", "line").alias("at"), place(DEBIT_HEADING).alias("debit_center"), place(CREDIT_HEADING).alias("credit_center"), place(BALANCE_HEADING).alias("balance_center"))
     headed = labels.where("debit_center is not null and credit_center is not null and balance_center is not null")
     headed = headed.groupBy("statement_id").agg(F.min_by(F.struct("debit_center", "credit_center", "balance_center"), "at").alias("c")).select("statement_id", "c.*", F.lit("header").alias("source"))
+    headed = written(headed, "headed")
     places = lines.join(headed.select("statement_id"), "statement_id", "left_anti").select("statement_id", F.explode("tokens").alias("t")).select("statement_id", "t.x", "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,8 @@ def detect_layout(lines: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([statement]), *(pa.array([c]) for c in last), pa.array(["fallback"])], names=["statement_id", "debit_center", "credit_center", "balance_center", "source"])
 
     numbers = places.mapInArrow(_amounts_only, "statement_id long, x double, text string").select("statement_id", "x")
-    return headed.unionByName(numbers.repartition("statement_id").sortWithinPartitions("statement_id", "x").mapInArrow(run, LAYOUT))
+    found = headed.unionByName(numbers.repartition("statement_id").sortWithinPartitions("statement_id", "x").mapInArrow(run, LAYOUT))
+    return written(found, "layout")  # of known size: where it is small, lines are joined with it where they are
 
 
 def _anchored(tokens: list[tuple[float, str]], text: str, debit: float, credit: float, balance: float) -> tuple[int, int, int] | None:
