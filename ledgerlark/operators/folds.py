@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.sources.shared import written
+
 from .adjacent import previous
 
 BLOCK = 512
@@ -63,6 +65,7 @@ def with_state(rows: DataFrame, step: Step, states: int, start: int = 0, block:
         blocks = blocks.withColumn("enter", F.lit(start))
     else:
         maps = blocks.select("statement_id", "at", _compose(F.col("items"), step, states).alias("map"))
+        maps = written(maps, "maps")  # every level reads the one below it twice
         blocks = blocks.join(_entered(maps, states, start, block, longest // block), ["statement_id", "at"])
     met = F.arrays_zip(F.col("items").alias("row"), _walk(F.col("items"), F.col("enter"), step).alias("met"))
     return blocks.select("statement_id", F.inline(met).alias("row", "met")).select("statement_id", *[F.col(f"row.{c}").alias(c) for c in columns], F.col("met").alias(name))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.amounts import AMOUNT, DATE, NUMBER, amount, line_amounts
 from ledgerlark.functions.dates import line_date, tidy
+from ledgerlark.sources.shared import written
 
 from .adjacent import BLOCK, renumber
 from .folds import BLOCK as FOLD_BLOCK
@@ -124,7 +125,8 @@ def assemble_rows(lines: DataFrame, block: int = BLOCK) -> DataFrame:
             .otherwise(state)
         )
 
-    known = with_state(facts(lines), step, 5, CLOSED, min(block, FOLD_BLOCK))
+    # each is read several times: facts by every level of the machine, what follows by fills and counts
+    known = written(with_state(written(facts(lines), "facts"), step, 5, CLOSED, min(block, FOLD_BLOCK)), "states")
     opening = F.when(F.col("kind") == START, F.col("row_idx")).when(F.col("kind") == BREAK, F.lit(-1))
     told = latest(known, opening, "source_line", block).where((F.col("source_line") >= 0) & F.col("kind").isin(START, TEXT))
     state, found, value, is_start = F.col("state"), F.col("found"), F.col("value"), F.col("kind") == START
@@ -144,4 +146,4 @@ def assemble_rows(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in sides}
     kept = rows.where(((zero["debit"] != 0) | (zero["credit"] != 0) | (F.col("balance") != 0)) & (F.col("description") != "") & F.col("balance").isNotNull())
     out = kept.withColumns({**zero, "date": line_date(F.col("date"))})
-    return renumber(out, block, by=("source_line",)).select("statement_id", "row_idx", "date", "description", "debit", "credit", "balance", "source_line")
+    return renumber(written(out, "assembled"), block, by=("source_line",)).select("statement_id", "row_idx", "date", "description", "debit", "credit", "balance", "source_line")
