@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.dates import let, scanned_date, tidy, trimmed
 from ledgerlark.functions.money import half_up
 from ledgerlark.functions.references import reference_token
+from ledgerlark.sources.shared import written
 
 from .adjacent import BLOCK, following, renumber
 from .folds import BLOCK as FOLD_BLOCK
@@ -109,6 +110,7 @@ def table_rows(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     facts = following(cells, block, below=F.col("separates")).withColumn("n", F.size("cells"))
     # a heading needs its line of dashes, so few lines are read as headings
     facts = facts.withColumn("heads", F.when(F.col("below") & (F.col("n") >= 3), columns_of(F.col("cells")))).withColumn("opens", F.when(F.col("heads").isNotNull(), F.col("n")).otherwise(0))
+    facts = written(facts, "facts")  # read by every level of the machine
     most = facts.agg(F.max("opens")).first()[0] or 0
 
     def step(state: Column, x: Column) -> Column:
@@ -117,7 +119,7 @@ def table_rows(lines: DataFrame, block: int = BLOCK) -> DataFrame:
 
     met = with_state(facts.select("statement_id", "row_idx", "n", "separates", "opens"), step, most + 1, block=min(block, FOLD_BLOCK))
     inside = (F.col("state") > 0) & (F.col("n") > 0) & (F.col("separates") | (F.col("n") >= F.col("state") - 2))
-    known = facts.select("statement_id", "row_idx", "cells", "heads").join(met, ["statement_id", "row_idx"]).withColumn("inside", inside)
+    known = written(facts.select("statement_id", "row_idx", "cells", "heads").join(met, ["statement_id", "row_idx"]).withColumn("inside", inside), "states")
     headed = latest(known, F.when(~F.col("inside") & (F.col("opens") > 0), F.struct("heads")), "_table", block)
     rows = headed.where("inside and not separates").withColumn("at", F.col("_table.heads"))
     cell = lambda name: F.when(F.col(f"at.{name}").isNotNull(), F.get("cells", F.col(f"at.{name}")))
@@ -129,4 +131,4 @@ def table_rows(lines: DataFrame, block: int = BLOCK) -> DataFrame:
         F.nullif(reference_token(cell("reference")), F.lit("")).alias("ref_number"), *[F.coalesce(money_or_none(cell(c)), F.lit(0)).alias(c) for c in ("debit", "credit")], money_or_none(cell("balance")).alias("balance"),
     )
     out = ["statement_id", "row_idx", "date", "description", "ref_number", "debit", "credit", "balance", "source_line"]
-    return renumber(read.where("date is not null and balance is not null"), block, by=("source_line",)).select(*out)
+    return renumber(written(read, "read").where("date is not null and balance is not null"), block, by=("source_line",)).select(*out)
