@@ -32,7 +32,9 @@ def test_lines_of_tables_are_read_once(spark):
 def test_tokens_are_read_once(spark):
     df, total = counted(spark.range(60).selectExpr("id % 2 AS statement_id", "1 AS page", "100.0D * (id div 2 % 3) AS x", "800.0D - 12 * (id div 6) AS y", "concat(id, '.00') AS text"))
     placed = layout.group_lines(df)
-    assert layout.anchored_amounts(placed, layout.detect_layout(placed)).count() == 20 and total.value == 60
+    found = layout.anchored_amounts(placed, layout.detect_layout(placed))
+    assert found.count() == 20 and total.value == 60
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # lines and layouts are read, not made again
 
 
 def test_extractions_are_read_once(spark):
